@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, line_runs, packing, quality, simhash, token_file, toxicity
+from . import contamination, language, line_runs, packing, quality, simhash, token_file, toxicity, wrappers
 from .runtime import crc_mod, ship, table
 
 
@@ -22,6 +22,29 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shingles", "n_shared", F.round("containment", 6).alias("containment"))
+
+
+OP3_SQL = """
+WITH item_words AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
+items AS (SELECT item_id, w, least(5, len(w)) AS k FROM item_words WHERE len(w) > 0),
+item_shingles AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM items, unnest(range(1, len(w) - k + 2)) AS t(i)),
+sizes AS (SELECT item_id, count(*) AS n FROM item_shingles GROUP BY item_id),
+doc_words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+doc_shingles AS (
+  SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM doc_words, (SELECT DISTINCT k FROM items) AS ks, unnest(range(1, len(w) - k + 2)) AS t(i)),
+shared AS (
+  SELECT doc_id, item_id, count(*) AS m FROM doc_shingles JOIN item_shingles USING (k, s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_shingles, CAST(m AS INTEGER) AS n_shared, round(m / n, 6) AS containment
+FROM shared JOIN sizes USING (item_id) WHERE m >= 0.8 * n - 1e-9
+"""
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod("doc_id", 4) == 2
     scored = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
@@ -44,6 +67,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_runs.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -76,5 +103,5 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _query(f) for f in (op1_best_fit_packing, op2_toxicity, op4_quality, op5_token_file, op7_language, op8_simhash, op10_line_dedup)}
-ORACLES: dict[str, str] = {"op10_line_dedup": OP10_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _query(f) for f in (op1_best_fit_packing, op2_toxicity, op3_decontamination, op4_quality, op5_token_file, op7_language, op8_simhash, op9_main_text, op10_line_dedup)}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op10_line_dedup": OP10_SQL}
