@@ -5,6 +5,10 @@ would need: of two fingerprints within the radius, one segment differs by one bi
 under every segment with each of its bits wiped (64 signatures), so that such a pair meets under an equal signature; the
 pairs that meet are verified on all 64 bits. Exact copies are one node of the index, whatever their number.
 
+A similarity of shingles rather than a radius takes a longer fingerprint of several such words: each word is indexed as
+above, and pairs that meet under any signature are verified on all bits. The share of bits that differ is the angle between
+two shingle sets, so 192 bits tell a Jaccard similarity of 0.8 (29 bits) from what clean documents have (60 and more).
+
 Fingerprints that meet are searched breadth first: a found node leaves the rest of its bucket, so a bucket yields at most
 one link fewer than it has members (a spanning forest of all its links), never all pairs. A bucket above CELL members is
 handed on and dealt out as pairs of blocks, each a task of its own.
@@ -12,12 +16,13 @@ handed on and dealt out as pairs of blocks, each a task of its own.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -97,9 +102,9 @@ def _majorities(h: np.ndarray, of: np.ndarray) -> np.ndarray:
     return out
 
 
-def simhash(texts: list[bytes | None], shingle: int = 4) -> np.ndarray:
-    """Fingerprints (uint64) of UTF-8 texts; zero where a text has no word."""
-    out = np.zeros(len(texts), np.uint64)
+def simhash(texts: list[bytes | None], shingle: int = 4, width: int = 1) -> np.ndarray:
+    """Fingerprints of UTF-8 texts, a column for each of `width` words of 64 bits; zero where a text has no word."""
+    out = np.zeros((len(texts), width), np.uint64)
     held: list[tuple[int, bytes]] = []
 
     def flush() -> None:
@@ -114,7 +119,10 @@ def simhash(texts: list[bytes | None], shingle: int = 4) -> np.ndarray:
         i = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
         last = i + np.repeat(np.minimum(n, shingle) - 1, many)
         h = xxh64_spans(buffer, begin[i], end[last] - begin[i])
-        out[[k for k, _ in held]] = _majorities(h, many)
+        for word in range(width):
+            out[[k for k, _ in held], word] = _majorities(h, many)
+            h = (h ^ (h >> np.uint64(31))) * P1  # another hash of the same shingle
+            h ^= h >> np.uint64(29)
         held.clear()
 
     size = 0
@@ -129,32 +137,52 @@ def simhash(texts: list[bytes | None], shingle: int = 4) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a long)."""
+def words_of(width: int) -> list[str]:
+    return [f"fp{w}" for w in range(width)]
+
+
+def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 4, width: int = 1) -> DataFrame:
+    """doc_id and fp0, fp1, ... (the fingerprint's bits as longs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
-                fp = simhash(some.column(1).to_pylist(), shingle)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                fp = simhash(some.column(1).to_pylist(), shingle, width).view(np.int64)
+                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(fp[:, w]) for w in range(width))], names=["doc_id", *words_of(width)])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {', '.join(f'{c} bigint' for c in words_of(width))}")
+
+
+def node_id(fps: np.ndarray) -> np.ndarray:
+    """One long for a fingerprint: itself if it is one word. Only fingerprints that differ by two bits or so can share one."""
+    out = fps[:, 0]
+    for w in range(1, fps.shape[1]):
+        out = out ^ _turn(fps[:, w], 7 * w)
+    return out.view(np.int64)
+
+
+def node_column(width: int) -> Column:
+    """The same in Spark."""
+    out = F.col("fp0")
+    for w in range(1, width):
+        out = out.bitwiseXOR(F.shiftleft(f"fp{w}", 7 * w).bitwiseOR(F.shiftrightunsigned(f"fp{w}", 64 - 7 * w)))
+    return out
 
 
 def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among these fingerprints (uint64, distinct), found breadth first."""
+    """A spanning forest of the links among these fingerprints (rows of uint64, distinct), found breadth first."""
     left, out = fps, []
     while len(left) > 1:
-        queue, left = [left[0]], left[1:]
+        queue, left = [left[:1]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(left ^ x) <= radius
+            near = np.bitwise_count(left ^ x).sum(axis=1) <= radius
             if near.any():
                 found = left[near]
-                out += [(int(x), int(y)) for y in found.tolist()]
-                queue += list(found)
+                out += [(int(node_id(x)[0]), y) for y in node_id(found).tolist()]
+                queue += [found[i : i + 1] for i in range(len(found))]
                 left = left[~near]
     return out
 
@@ -170,85 +198,106 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _search(radius: int, cell: int | None):
-    """Over rows (bucket columns..., fp) sorted by bucket: yields (a, b, hot). Links have hot false; members of a bucket
-    that is larger than `cell` come out as (signature's number, fp, true)."""
+def _search(radius: int, cell: int | None, width: int):
+    """Over rows (bucket columns..., fingerprint words) sorted by bucket: yields (a, b, fp0..., hot). Links have hot false;
+    members of a bucket that is larger than `cell` come out as the signature's number, their words and hot true."""
 
-    def close(fps: list[np.ndarray], number: int, rows: list) -> None:
-        members = np.unique(np.concatenate(fps))
-        rows += [(number, x, True) for x in members.view(np.int64).tolist()] if cell and len(members) > cell else [(_signed(a), _signed(b), False) for a, b in forest(members, radius)] if len(members) > 1 else []
+    def close(fps: list[np.ndarray], number: int, links: list, hot: list) -> None:
+        members = np.unique(np.concatenate(fps), axis=0) if len(fps) > 1 or len(fps[0]) > 1 else fps[0]
+        if cell and len(members) > cell:
+            hot.append((np.full(len(members), number, np.int64), members.view(np.int64)))
+        elif len(members) > 1:
+            links += forest(members, radius)
 
-    def batch_of(rows: list) -> pa.RecordBatch:
-        a, b, hot = zip(*rows) if rows else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(hot, pa.bool_())], names=["a", "b", "hot"])
+    def batch_of(links: list, hot: list) -> pa.RecordBatch:
+        a, b = (np.array(x, np.int64) for x in (zip(*links) if links else ((), ())))
+        numbers = np.concatenate([a, *(n for n, _ in hot)])
+        words = np.concatenate([np.zeros((len(a), width), np.int64), *(m for _, m in hot)])
+        other = np.concatenate([b, np.zeros(len(numbers) - len(b), np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(other), *(pa.array(np.ascontiguousarray(words[:, w])) for w in range(width)), pa.array(np.arange(len(numbers)) >= len(a))], names=["a", "b", *words_of(width), "hot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        bucket, rows = None, []
+        bucket, links, hot = None, [], []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [c.to_numpy() for c in batch.columns]
-            fp = cols[-1].view(np.uint64)
+            keys = [c.to_numpy() for c in batch.columns[:-width]]
+            fp = np.stack([c.to_numpy() for c in batch.columns[-width:]], axis=1).view(np.uint64)
             change = np.zeros(len(fp) - 1, bool)
-            for c in cols[:-1]:
+            for c in keys:
                 change |= c[1:] != c[:-1]
             starts = np.concatenate([[0], np.flatnonzero(change) + 1])
             ends = np.append(starts[1:], len(fp))
-            # Buckets of one lie between others; only those of two and more, and the batch's first and last, are looked at.
+            # Most buckets have one member or two; all pairs of the batch are verified at once, and only larger buckets and
+            # those at the batch's ends are looked at one by one.
             look = np.flatnonzero((ends - starts > 1) | (starts == 0) | (ends == len(fp)))
             pairs = look[(ends - starts)[look] == 2]
             inner = pairs[(starts[pairs] > 0) & (ends[pairs] < len(fp))]
             a, b = fp[starts[inner]], fp[starts[inner] + 1]
-            near = (np.bitwise_count(a ^ b) <= radius) & (a != b)
-            rows += zip(a[near].view(np.int64).tolist(), b[near].view(np.int64).tolist(), [False] * int(near.sum()))
-            for g in np.setdiff1d(look, inner).tolist():
-                this = tuple(c[starts[g]] for c in cols[:-1])
+            apart = np.bitwise_count(a ^ b).sum(axis=1)
+            near = (apart <= radius) & (apart > 0)
+            links += zip(node_id(a[near]).tolist(), node_id(b[near]).tolist())
+            for g in np.setdiff1d(look, inner, assume_unique=True).tolist():
+                this = tuple(c[starts[g]] for c in keys)
                 if this != bucket and held:
-                    close(held, int(bucket[0]), rows)
+                    close(held, int(bucket[0]), links, hot)
                     held = []
                 bucket = this
                 held.append(fp[starts[g] : ends[g]])
-            if len(rows) > 20_000:
-                yield batch_of(rows)
-                rows = []
+            if len(links) > 20_000 or hot:
+                yield batch_of(links, hot)
+                links, hot = [], []
         if held:
-            close(held, int(bucket[0]), rows)
-        yield batch_of(rows)
+            close(held, int(bucket[0]), links, hot)
+        yield batch_of(links, hot)
 
     return run
 
 
-def links(nodes: DataFrame, radius: int = 4, cell: int = CELL) -> DataFrame:
-    """nodes: (fp), distinct. Returns (a, b): links within the radius, enough of them to connect all that are linked."""
-    masks = [_signed(m) for m in _signatures(radius)]
-    keyed = nodes.select(F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("k", "signature"), "fp")
+def links(nodes: DataFrame, radius: int = 4, cell: int = CELL, width: int = 1, segments_for: int = 4) -> DataFrame:
+    """nodes: (fp0, ...), distinct. Returns (a, b) of node ids: links within the radius, enough of them to connect all that
+    are linked and meet under a signature."""
+    masks = [_signed(m) for m in _signatures(segments_for)]
+    words = words_of(width)
+    out_schema = f"a bigint, b bigint, {', '.join(f'{c} bigint' for c in words)}, hot boolean"
+    keyed = nodes.select(F.posexplode(F.array(*[F.col(c).bitwiseAND(F.lit(m)) for c in words for m in masks])).alias("k", "signature"), *words)
     dealt = keyed.repartition("k", "signature").sortWithinPartitions("k", "signature")
-    found = stored(dealt.mapInArrow(_search(radius, cell), "a bigint, b bigint, hot boolean"), "links")
+    found = stored(dealt.mapInArrow(_search(radius, cell, width), out_schema), "links")
     out = found.where("not hot").select("a", "b")
     if found.where("hot").limit(1).count():
-        mask = F.element_at(F.array(*[F.lit(m) for m in masks]), F.col("k") + 1)
-        hot = found.where("hot").select(F.col("a").cast("int").alias("k"), F.col("b").alias("fp")).withColumn("signature", F.col("fp").bitwiseAND(mask))
+        signature = F.element_at(F.array(*[F.col(c).bitwiseAND(F.lit(m)) for c in words for m in masks]), F.col("k") + 1)
+        hot = found.where("hot").select(F.col("a").cast("int").alias("k"), *words).withColumn("signature", signature)
         sizes = hot.groupBy("k", "signature").count().select("k", "signature", F.ceil(F.col("count") * 2 / cell).cast("int").alias("blocks"))
-        own = hot.join(sizes, ["k", "signature"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        own = hot.join(sizes, ["k", "signature"]).withColumn("block", F.pmod(F.xxhash64(*words), F.col("blocks")).cast("int"))
         other = own.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))))
-        cells = other.select("k", "signature", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp")
+        cells = other.select("k", "signature", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *words)
         cells = cells.repartition("k", "signature", "i", "j").sortWithinPartitions("k", "signature", "i", "j")
-        out = out.unionByName(cells.mapInArrow(_search(radius, None), "a bigint, b bigint, hot boolean").select("a", "b"))
+        out = out.unionByName(cells.mapInArrow(_search(radius, None, width), out_schema).select("a", "b"))
     return out
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """doc_id, fp and component_id: the smallest key of the documents that links reach, itself included.
+def radius_for(similarity: float, bits: int) -> int:
+    """Bits that differ between shingle sets of this Jaccard similarity, and one standard deviation more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + (bits * share * (1 - share)) ** 0.5)
+
+
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, similarity: float | None = None, width: int = 1) -> DataFrame:
+    """doc_id, fp0 (with a similarity fp1, ...) and component_id: the smallest key of the documents that links reach,
+    itself included. Links join fingerprints that differ in at most `radius` bits or, if a similarity is given, in as many
+    of 64 x width bits as shingle sets of that Jaccard similarity do.
 
     Null and blank texts have fingerprint zero and link like any other. Rows with the same key are rows of the result
     each. A null key is never a component's smallest unless all its keys are null. An empty table gives no rows.
     """
-    prints = stored(fingerprints(docs, key=key, text=text, shingle=shingle), "fingerprints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
-    roots = components(links(nodes.select("fp"), radius))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    placed = stored(placed, "rooted")
+    words = words_of(width)
+    prints = stored(fingerprints(docs, key=key, text=text, shingle=shingle, width=width).withColumn("node", node_column(width)), "fingerprints")
+    nodes = stored(prints.groupBy("node", *words).agg(F.min("doc_id").alias("least_id")), "nodes")
+    far = radius if similarity is None else radius_for(similarity, 64 * width)
+    roots = components(links(nodes.select(*words), far, width=width, segments_for=radius))
+    placed = nodes.select("node", "least_id").join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
+    placed = stored(placed.groupBy("node", "root").agg(F.min("least_id").alias("least_id")), "rooted")
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of = placed.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = placed.select("node", "root").join(least, "root").select("node", "component_id")
+    return prints.join(of, "node").select("doc_id", *words, "component_id")
