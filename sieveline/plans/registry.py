@@ -9,3 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 FLAGSHIP = "hybrid_search"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function of (spark, sf_dir) under its name, with SQL that gives the same rows if there is any."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
