@@ -1,4 +1,4 @@
-"""The chunk table's schema, and the parsers of whole files that can only be written as Python: mapInPandas over (path,
+"""The chunk table's schema, and the parsers of whole files that can only be written as Python: mapInArrow over (path,
 text), one output row a chunk. A file that doesn't parse yields no chunk and an entry in `error`."""
 
 from __future__ import annotations
@@ -10,13 +10,15 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from hashlib import sha256
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SCHEMA = (
     "chunk_id string, content string, type string, file_path string, fqn string, start_line int, end_line int, imports array<string>,"
     " annotations array<string>, class_context string, package_context string, api_calls array<string>, mvc map<string,string>, metadata_json string, error string"
 )
+_ARROW = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string()), "map<string,string>": pa.map_(pa.string(), pa.string())}
+ARROW = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split(" ") for c in SCHEMA.split(", "))])
 TYPES = ("METHOD", "CLASS", "JSP_FRAGMENT", "CONFIG_SECTION", "IMPORT_BLOCK", "FIELD")
 WINDOW, OVERLAP = 100, 25
 
@@ -40,24 +42,23 @@ class Chunk:
     def row(self, n: int) -> dict:
         """The id depends on the chunk alone: path, kind, place and number."""
         own = sha256(f"{self.file_path}\0{self.type}\0{self.start_line}\0{n}".encode()).hexdigest()
-        return {k: v for k, v in vars(self).items() if k != "metadata"} | {"chunk_id": own, "metadata_json": json.dumps(self.metadata, sort_keys=True), "error": None}
+        return {k: list(v.items()) if k == "mvc" else v for k, v in vars(self).items() if k != "metadata"} | {"chunk_id": own, "metadata_json": json.dumps(self.metadata, sort_keys=True), "error": None}
 
 
 def chunks(files: DataFrame, parse: Callable[[str, str], list[Chunk]]) -> DataFrame:
     """files: (path, text)."""
-    columns = re.findall(r"(\w+) (?:string|int|array<string>|map<string,string>)(?:,|$)", SCHEMA)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows: list[dict] = []
-            for path, text in zip(frame["path"], frame["text"]):
+            for path, text in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
                     rows += [c.row(n) for n, c in enumerate(parse(path, text or ""))]
                 except Exception as e:  # one bad file must not end the job; it is reported in its row
                     rows.append({"file_path": path, "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=columns)
+            yield pa.RecordBatch.from_pylist(rows, ARROW)
 
-    return files.select("path", "text").mapInPandas(run, SCHEMA)
+    return files.select("path", "text").mapInArrow(run, SCHEMA)
 
 
 def searchable_text(c: Chunk) -> str:

@@ -67,7 +67,8 @@ def merge(candidates: DataFrame, rankings: DataFrame, method: str, by: str = "qu
     """candidates (by, chunk_id, similarity, rank) with llm, combined (0.4 vector + 0.6 llm), method and place. Without a
     ranking a candidate's similarity stands in for it."""
     rows = candidates.join(rankings.select(by, "chunk_id", F.col("score").alias("_s")), [by, "chunk_id"], "left")
-    llm = F.coalesce(F.greatest(F.lit(0), F.least(F.lit(10), F.col("_s"))) / 10.0, F.col("similarity"))
+    clamped = F.greatest(F.lit(0), F.least(F.lit(10), F.col("_s"))) / 10.0  # least() and greatest() pass over nulls
+    llm = F.when(F.col("_s").isNull(), F.col("similarity")).otherwise(clamped)
     rows = rows.withColumn("llm", llm).withColumn("combined", F.round(0.4 * F.col("similarity") + 0.6 * F.col("llm"), 7))
     order = Window.partitionBy(by).orderBy(F.desc("combined"), F.asc("rank"))
     return rows.drop("_s").withColumn("method", F.lit(method)).withColumn("place", F.row_number().over(order))

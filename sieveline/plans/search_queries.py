@@ -337,7 +337,7 @@ def pattern_query(spark, sf_dir):
 # --- rerank ------------------------------------------------------------------------------------------------------------
 
 JACCARD = "CAST(floor(10 * len(list_intersect(a, b)) / greatest(len(list_distinct(list_concat(a, b))), 1)) AS INTEGER)"
-RERANK = f"""WITH {INDEX}, {BENCH}, {SCORES}, hits AS (SELECT *, round(score / 100, 6) AS similarity FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM sc) WHERE rank <= 20),
+RERANK = f"""WITH {INDEX}, {BENCH}, {SCORES}, hits AS (SELECT *, round(score / 128, 6) AS similarity FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM sc) WHERE rank <= 20),
 pairs AS (SELECT h.*, list_distinct({WORDS.replace('text', 'b0.text')}) AS a, list_distinct({WORDS.replace('text', 'd.text')}) AS b FROM hits h JOIN documents d ON d.doc_id = chunk_id JOIN benchmark b0 ON b0.item_id = query_id),
 merged AS (SELECT *, {JACCARD} / 10.0 AS llm, round(0.4 * similarity + 0.6 * {JACCARD} / 10.0, 7) AS combined FROM pairs)
 SELECT query_id, chunk_id, CAST(llm AS DOUBLE) AS llm, CAST(combined AS DOUBLE) AS combined, 'METHOD' AS method, CAST(row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, rank) AS INTEGER) AS place FROM merged"""
@@ -345,7 +345,7 @@ SELECT query_id, chunk_id, CAST(llm AS DOUBLE) AS llm, CAST(combined AS DOUBLE)
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, q = document_chunks(spark, sf_dir), _bench(spark, sf_dir)
-    return lexical.bm25_search(c, q, 20).withColumn("similarity", F.round(F.col("score") / 100, 6)).join(c.select("chunk_id", "content", "type", "fqn"), "chunk_id").join(q, "query_id")
+    return lexical.bm25_search(c, q, 20).withColumn("similarity", F.round(F.col("score") / 128, 6)).join(c.select("chunk_id", "content", "type", "fqn"), "chunk_id").join(q, "query_id")
 
 
 @query(RERANK.replace("METHOD", "llm_rerank"))
