@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, line_runs, packing, quality, simhash, token_file, toxicity, wrappers
+from . import contamination, language, line_runs, packing, quality, search, simhash, token_file, toxicity, wrappers
 from .runtime import crc_mod, ship, table
 
 
@@ -56,6 +56,27 @@ def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.with_crc(token_file.read_tokens(spark, path))
 
 
+def op6_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as queries, whole: every one whose id is divisible by 20, against all documents."""
+    docs = table(spark, sf_dir, "documents")
+    queries = docs.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return search.search(docs, queries)
+
+
+OP6_SQL = """
+WITH toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')) AS term FROM documents),
+post AS (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY 1, 2),
+lens AS (SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')) AS dl FROM documents),
+fs AS (SELECT count(*) AS n, avg(dl) AS mean FROM lens),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+sc AS (
+  SELECT q.doc_id AS query_id, d.doc_id, round(sum(q.tf * ln(1 + (n - df + 0.5) / (df + 0.5)) * d.tf / (d.tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+  FROM post q JOIN dfs USING (term) JOIN post d USING (term) JOIN lens ON lens.doc_id = d.doc_id, fs WHERE q.doc_id % 20 = 0 GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM sc)
+SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10
+"""
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod("doc_id", 4) == 2
     found = language.identify(table(spark, sf_dir, "documents"), ~held_out)
@@ -103,5 +124,5 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _query(f) for f in (op1_best_fit_packing, op2_toxicity, op3_decontamination, op4_quality, op5_token_file, op7_language, op8_simhash, op9_main_text, op10_line_dedup)}
-ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op10_line_dedup": OP10_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _query(f) for f in (op1_best_fit_packing, op2_toxicity, op3_decontamination, op4_quality, op5_token_file, op6_bm25, op7_language, op8_simhash, op9_main_text, op10_line_dedup)}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op6_bm25": OP6_SQL, "op10_line_dedup": OP10_SQL}
