@@ -36,6 +36,7 @@ class ChunkStore:
 
     def save_vectors(self, vectors: DataFrame, fmt: str = "parquet") -> None:
         rows = vectors if "ts" in vectors.columns else vectors.withColumn("ts", F.current_timestamp())
+        rows = rows.withColumn("embedding", F.col("embedding").cast("array<float>"))
         rows.write.mode("overwrite").format(fmt).save(f"{self.path}/vectors")
 
     def vectors(self, fmt: str = "parquet") -> DataFrame:
