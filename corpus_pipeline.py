@@ -36,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn("_n", first).where("_n = 1").select(*docs.columns)
+    return kept.withColumn("__n", first).where("__n = 1").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,13 +99,13 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min
         runs.add(lines.where(F.col("batch") == n))
     repeated = runs.keys().where(F.col("n_docs") >= min_docs).select("hi", "lo", "last_id")
     gone = lines.join(repeated, ["hi", "lo"]).where(~F.col("doc_id").eqNullSafe(F.col("last_id")))
-    gone = gone.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone")).select(F.col("row").alias("_row"), "gone")
+    gone = gone.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("__gone")).select(F.col("row").alias("__row"), "__gone")
 
-    out = docs.withColumn("_row", row).join(gone.hint("shuffle_hash"), "_row", "left")
+    out = docs.withColumn("__row", row).join(gone.hint("shuffle_hash"), "__row", "left")
     n = F.size(_lines(text))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col("gone")), lambda i: F.get(_lines(text), i))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col("__gone")), lambda i: F.get(_lines(text), i))
     name = lambda c: f"_{c}" if c in docs.columns else c
     return out.select(
-        *[F.when(F.col("gone").isNull(), F.coalesce(F.col(c), F.lit(""))).otherwise(F.array_join(kept, "\n")).alias(c) if c == text else F.col(c) for c in docs.columns],
-        n.cast("bigint").alias(name("n_lines")), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias(name("n_dropped")),
+        *[F.when(F.col("__gone").isNull(), F.coalesce(F.col(c), F.lit(""))).otherwise(F.array_join(kept, "\n")).alias(c) if c == text else F.col(c) for c in docs.columns],
+        n.cast("bigint").alias(name("n_lines")), F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias(name("n_dropped")),
     )
