@@ -97,7 +97,8 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min
     runs = LineRuns(spark)
     for n in range(batches):
         runs.add(lines.where(F.col("batch") == n))
-    repeated = runs.keys().where(F.col("n_docs") >= min_docs).select("hi", "lo", "last_id")
+    # A table of its own: its size is known, so it is broadcast where small, and else a line with very many holders is split.
+    repeated = stored(runs.keys().where(F.col("n_docs") >= min_docs).select("hi", "lo", "last_id"), "repeated-lines")
     gone = lines.join(repeated, ["hi", "lo"]).where(~F.col("doc_id").eqNullSafe(F.col("last_id")))
     gone = gone.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("__gone")).select(F.col("row").alias("__row"), "__gone")
 
