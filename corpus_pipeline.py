@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm import contamination, line_runs, packing, simhash, toxicity
+from sieveline.llm import contamination, line_runs, minhash, packing, toxicity
 from sieveline.llm.runtime import crc_mod, ship, stored, table
 
 #: Documents that score this much go.
@@ -32,7 +32,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id (of rows with that id, the least text)."""
     ship(spark)
-    found = simhash.near_duplicates(docs, shingle=5, similarity=0.8, width=3)
+    found = minhash.near_duplicates(docs, shingle=5, similarity=0.8)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))

@@ -1,0 +1,144 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands find candidates, the shingle sets decide.
+
+A text has BANDS signatures of ROWS minima each; two texts are candidates if they share one. At a similarity of 0.8 a pair
+meets under no band with a probability of (1 - 0.8^4)^24 = 3e-6, and less above. Candidates are verified on their texts, so
+what is linked is exact. Texts that are equal but for case and white space are one node, whatever their number.
+
+Verification goes in three rounds: each member of a band with the band's least node, then with its greatest where the two
+are not in one component yet, then all pairs of a band that still are in different components. So a large group of near
+copies costs a star of pairs, and no pair that could join two components is left out.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .components import components
+from .runtime import stored
+from .simhash import P2, SEED, SLICE, normal_words, shingle_hashes
+
+BANDS, ROWS = 24, 4
+_DRAW = np.random.default_rng(SEED)
+_SALT = _DRAW.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
+_ODD = _DRAW.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+
+
+def sketches(texts: list[bytes | None], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes (a hash of the text's words, zero where it has none) and signatures, a column for each band."""
+    node, bands = np.zeros(len(texts), np.uint64), np.zeros((len(texts), BANDS), np.uint64)
+    held: list[tuple[int, bytes]] = []
+
+    def flush() -> None:
+        if not held:
+            return
+        at = [k for k, _ in held]
+        h, many = shingle_hashes([x for _, x in held], shingle)
+        first = np.cumsum(many) - many
+        node[at] = [xxhash.xxh64_intdigest(x, SEED) for _, x in held]
+        for band in range(BANDS):
+            key = np.full(len(at), band, np.uint64)
+            for k in range(band * ROWS, (band + 1) * ROWS):
+                key = (key ^ np.minimum.reduceat((h ^ _SALT[k]) * _ODD[k], first)) * P2
+                key ^= key >> np.uint64(31)
+            bands[at, band] = key
+        held.clear()
+
+    size = 0
+    for k, text in enumerate(texts):
+        if words := normal_words(text):
+            held.append((k, words))
+            size += len(words)
+            if size >= SLICE:
+                flush()
+                size = 0
+    flush()
+    return node, bands
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of hashes, each sorted and without repeats."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def sketched(docs: DataFrame, *, key: str, text: str, shingle: int) -> DataFrame:
+    """doc_id, h (of the text as it is), node and bands of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                node, bands = sketches(some.column(2).to_pylist(), shingle)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(node.view(np.int64)), lists], names=["doc_id", "h", "node", "bands"])
+
+    rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, h bigint, node bigint, bands array<bigint>")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, *, text: str, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose texts are similar."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "h"), "node")
+    texts = docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("text")).join(wanted, "h").groupBy("node").agg(F.any_value("text").cast("binary").alias("text"))
+    texts = stored(texts, "near-texts")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                a, b = some.column(0).to_pylist(), some.column(1).to_pylist()
+                text_of = dict(zip([*a, *b], [*some.column(2).to_pylist(), *some.column(3).to_pylist()]))
+                h, many = shingle_hashes([normal_words(x) for x in text_of.values()], shingle)
+                sets = {k: np.unique(x) for k, x in zip(text_of, np.split(h, np.cumsum(many)[:-1]))}
+                near = np.array([similar(sets[x], sets[y]) >= similarity for x, y in zip(a, b)], bool)
+                yield pa.RecordBatch.from_arrays([some.column(i).filter(pa.array(near)) for i in (0, 1)], names=["a", "b"])
+
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id: the smallest key of the documents that links reach, itself included. Links join texts whose
+    sets of shingles (a shorter text is one) have at least this Jaccard similarity.
+
+    Null and blank texts link with each other. Rows with the same key are rows of the result each. A null key is never a
+    component's smallest unless all its keys are null. An empty table gives no rows.
+    """
+    prints = stored(sketched(docs, key=key, text=text, shingle=shingle), "sketches")
+    nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("h").alias("h"), F.any_value("bands").alias("bands")), "nodes")
+    held = nodes.select("node", F.explode("bands").alias("band"))
+    shared = held.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1").drop("n")
+    members = stored(held.join(shared, "band"), "bands")
+
+    def rooted(of: DataFrame, column: str, roots: DataFrame) -> DataFrame:
+        return of.join(roots.select(F.col("node").alias(column), F.col("root").alias(f"{column}_root")), column, "left").withColumn(f"{column}_root", F.coalesce(f"{column}_root", column))
+
+    def check(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(seen, ["a", "b"], "left_anti") if seen else pairs.distinct(), "candidates")
+        return pairs, stored(verified(pairs, nodes, docs, text=text, shingle=shingle, similarity=similarity), "links")
+
+    seen = None
+    seen, links = check(members.where("lo <> node").select(F.col("lo").alias("a"), F.col("node").alias("b")))
+    roots = components(links)
+    if not seen.isEmpty():
+        apart = rooted(rooted(members.select("node", "hi").distinct(), "node", roots), "hi", roots).where("node_root <> hi_root")
+        pairs, more = check(apart.select(F.col("node").alias("a"), F.col("hi").alias("b")))
+        seen, links = seen.unionByName(pairs), links.unionByName(more)
+        roots = components(links)
+        own = rooted(members.select("band", "node"), "node", roots)
+        # Only bands that hold several components still have pairs to tell.
+        open_ = own.groupBy("band").agg(F.min("node_root").alias("x"), F.max("node_root").alias("y")).where("x <> y").select("band")
+        own = stored(own.join(open_, "band", "left_semi"), "open-bands")
+        a, b = own.select("band", F.col("node").alias("a"), F.col("node_root").alias("ra")), own.select("band", F.col("node").alias("b"), F.col("node_root").alias("rb"))
+        _, more = check(a.join(b, "band").where("a < b AND ra <> rb").select("a", "b"))
+        roots = components(links.unionByName(more))
+    placed = nodes.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = stored(placed.select("node", "root", "least_id"), "rooted")
+    least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return prints.select("doc_id", "node").join(placed.select("node", "root").join(least, "root"), "node").select("doc_id", "component_id")

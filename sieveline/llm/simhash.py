@@ -5,9 +5,8 @@ would need: of two fingerprints within the radius, one segment differs by one bi
 under every segment with each of its bits wiped (64 signatures), so that such a pair meets under an equal signature; the
 pairs that meet are verified on all 64 bits. Exact copies are one node of the index, whatever their number.
 
-A similarity of shingles rather than a radius takes a longer fingerprint of several such words: each word is indexed as
-above, and pairs that meet under any signature are verified on all bits. The share of bits that differ is the angle between
-two shingle sets, so 192 bits tell a Jaccard similarity of 0.8 (29 bits) from what clean documents have (60 and more).
+A fingerprint may have several such words: each is indexed as above, and pairs that meet under any signature are verified
+on all bits. A similarity of shingles rather than a radius is not told by fingerprints at all: see `minhash`.
 
 Fingerprints that meet are searched breadth first: a found node leaves the rest of its bucket, so a bucket yields at most
 one link fewer than it has members (a spanning forest of all its links), never all pairs. A bucket above CELL members is
@@ -16,7 +15,6 @@ handed on and dealt out as pairs of blocks, each a task of its own.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,6 +100,24 @@ def _majorities(h: np.ndarray, of: np.ndarray) -> np.ndarray:
     return out
 
 
+def normal_words(text: bytes | None) -> bytes:
+    """A text's words in lower case, a blank between them: on bytes, A-Z and the six ASCII blanks only."""
+    return b" ".join((text or b"").lower().split())
+
+
+def shingle_hashes(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of normal_words that aren't empty, one text after the other, and how many each text has."""
+    buffer = b" ".join(texts)
+    cut = np.flatnonzero(np.frombuffer(buffer, np.uint8) == 32)
+    begin, end = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(buffer)]])
+    n = np.array([x.count(b" ") + 1 for x in texts])
+    first = np.cumsum(n) - n
+    many = np.maximum(n - shingle + 1, 1)
+    i = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    last = i + np.repeat(np.minimum(n, shingle) - 1, many)
+    return xxh64_spans(buffer, begin[i], end[last] - begin[i]), many
+
+
 def simhash(texts: list[bytes | None], shingle: int = 4, width: int = 1) -> np.ndarray:
     """Fingerprints of UTF-8 texts, a column for each of `width` words of 64 bits; zero where a text has no word."""
     out = np.zeros((len(texts), width), np.uint64)
@@ -110,15 +126,7 @@ def simhash(texts: list[bytes | None], shingle: int = 4, width: int = 1) -> np.n
     def flush() -> None:
         if not held:
             return
-        buffer = b" ".join(x for _, x in held)
-        cut = np.flatnonzero(np.frombuffer(buffer, np.uint8) == 32)
-        begin, end = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(buffer)]])
-        n = np.array([x.count(b" ") + 1 for _, x in held])
-        first = np.cumsum(n) - n
-        many = np.maximum(n - shingle + 1, 1)
-        i = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        last = i + np.repeat(np.minimum(n, shingle) - 1, many)
-        h = xxh64_spans(buffer, begin[i], end[last] - begin[i])
+        h, many = shingle_hashes([x for _, x in held], shingle)
         for word in range(width):
             out[[k for k, _ in held], word] = _majorities(h, many)
             h = (h ^ (h >> np.uint64(31))) * P1  # another hash of the same shingle
@@ -127,9 +135,9 @@ def simhash(texts: list[bytes | None], shingle: int = 4, width: int = 1) -> np.n
 
     size = 0
     for k, text in enumerate(texts):
-        if words := (text or b"").lower().split():  # on bytes: A-Z and the six ASCII blanks only
-            held.append((k, b" ".join(words)))
-            size += len(held[-1][1])
+        if words := normal_words(text):
+            held.append((k, words))
+            size += len(words)
             if size >= SLICE:
                 flush()
                 size = 0
@@ -277,25 +285,22 @@ def links(nodes: DataFrame, radius: int = 4, cell: int = CELL, width: int = 1, s
     return out
 
 
-def radius_for(similarity: float, bits: int) -> int:
-    """Bits that differ between shingle sets of this Jaccard similarity, and one standard deviation more."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + (bits * share * (1 - share)) ** 0.5)
-
-
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, similarity: float | None = None, width: int = 1) -> DataFrame:
-    """doc_id, fp0 (with a similarity fp1, ...) and component_id: the smallest key of the documents that links reach,
-    itself included. Links join fingerprints that differ in at most `radius` bits or, if a similarity is given, in as many
-    of 64 x width bits as shingle sets of that Jaccard similarity do.
+    """doc_id, fp0 (fp1, ... up to width) and component_id: the smallest key of the documents that links reach, itself
+    included. Links join fingerprints that differ in at most `radius` bits. If a similarity is given, they join texts whose
+    shingle sets have that Jaccard similarity (`minhash.near_duplicates`), and there are no fingerprints.
 
     Null and blank texts have fingerprint zero and link like any other. Rows with the same key are rows of the result
     each. A null key is never a component's smallest unless all its keys are null. An empty table gives no rows.
     """
+    if similarity is not None:
+        from . import minhash
+
+        return minhash.near_duplicates(docs, key=key, text=text, shingle=shingle, similarity=similarity)
     words = words_of(width)
     prints = stored(fingerprints(docs, key=key, text=text, shingle=shingle, width=width).withColumn("node", node_column(width)), "fingerprints")
     nodes = stored(prints.groupBy("node", *words).agg(F.min("doc_id").alias("least_id")), "nodes")
-    far = radius if similarity is None else radius_for(similarity, 64 * width)
-    roots = components(links(nodes.select(*words), far, width=width, segments_for=radius))
+    roots = components(links(nodes.select(*words), radius, width=width, segments_for=radius))
     placed = nodes.select("node", "least_id").join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     placed = stored(placed.groupBy("node", "root").agg(F.min("least_id").alias("least_id")), "rooted")
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))

@@ -1,0 +1,37 @@
+import random
+
+from sieveline.llm import contamination, minhash
+from tests.llm.test_simhash import roots
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_components_are_those_of_all_similar_pairs(spark):
+    draw = random.Random(8)
+    texts = [None, " ", "few words", "Few  words", "few words more"]
+    for _ in range(120):
+        base = [f"w{draw.randint(0, 10**6)}" for _ in range(draw.randint(60, 200))]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 4):
+            near = list(base)
+            for _ in range(edits):
+                near[draw.randrange(len(near))] = f"x{draw.randint(0, 10**6)}"
+            texts.append(" ".join(near))
+    sets = {i: contamination.shingles((t or "").lower().split()) for i, t in enumerate(texts)}
+    linked = [(i, j) for i in sets for j in sets if i < j and jaccard(sets[i], sets[j]) >= 0.8]
+    close = sum(jaccard(sets[i], sets[j]) < 0.85 for i, j in linked)
+    assert close > 50 and len(linked) > 300
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert got == roots(sets, linked)
+    assert minhash.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_a_chain_of_near_copies_is_one_component(spark):
+    # Neighbours are similar, the ends are not: a star around one member would not find them all.
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[k * 8 : k * 8 + 200]) for k in range(20)]
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 20
