@@ -30,12 +30,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id (of rows with that id, the least text)."""
+    """One row of each group of near-duplicates: the one with the smallest id (then the smallest hash of its row). Rows
+    without an id are documents of their own, behind those with one; of rows that are equal in id and text one can stay."""
     ship(spark)
-    found = minhash.near_duplicates(docs, shingle=5, similarity=0.8)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    row = F.xxhash64("doc_id", "text")
+    keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row.alias("row")).alias("key"), "text")
+    found = minhash.near_duplicates(keyed, key="key", shingle=5, similarity=0.8)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id.row").alias("__row")).distinct()
+    kept = docs.withColumn("__row", row).join(keep, "__row", "left_semi")
+    first = F.row_number().over(Window.partitionBy("__row").orderBy(*docs.columns))
     return kept.withColumn("__n", first).where("__n = 1").select(*docs.columns)
 
 
