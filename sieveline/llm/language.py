@@ -1,13 +1,16 @@
 """Language identification by compression: the language whose dictionary makes a text smallest.
 
 Each language has a raw-content dictionary for zstandard, cut from whole training texts. All of a text,
-lower-cased and with white space joined, is compressed with every dictionary, piece by piece, and the least size wins. When the runner-up comes within
+lower-cased and with white space joined, is compressed with every dictionary, piece by piece, and the least size wins. Where dictionaries
+differ in size, the smaller one has to beat the mean of what the larger gives whole and cut to the smaller's size: on equal terms a
+text of a rare language is told, and a common language keeps what its size is worth. When the runner-up comes within
 `margin` bytes a hundred bytes of text, the decision is rejected: `rejected` says so, `lang_pred` still names the winner.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import zip_longest
 
 import numpy as np
@@ -21,6 +24,8 @@ DICTIONARY, TEXTS, LONGEST = 112 << 10, 400, 20_000
 LEVEL, MARGIN = 6, 0.4
 #: Bytes that are compressed at once: beyond them a text would be its own dictionary.
 PIECE = 2048
+#: Cut dictionaries that a worker keeps (speed only).
+CUTS = 256
 #: Words that are kept or left out together when training texts are cleaned.
 WINDOW = 12
 
@@ -39,13 +44,18 @@ class Languages:
     def __init__(self, samples: dict[str, list[str]], level: int = LEVEL, margin: float = MARGIN):
         self.names = sorted(samples)
         self.margin = margin
-        self.compressors = []
-        share = {k: b"\n".join(normal(t).encode() for t in samples[k]) for k in self.names}
-        room = min([DICTIONARY, *map(len, share.values())]) if share else 0  # equal sizes, or the largest would win ties
-        for name in self.names:
-            data = zstandard.ZstdCompressionDict(share[name][-max(room, 8) :], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            data.precompute_compress(level=level)
-            self.compressors.append(zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=False, write_dict_id=False))
+        self.level = level
+        share = {k: b"\n".join(normal(t).encode() for t in samples[k])[-DICTIONARY:] for k in self.names}
+        self.names.sort(key=lambda k: -len(share[k]))  # stable: of equal sizes, the language that sorts first
+        self.share = [share[k] for k in self.names]
+        self.room = [len(x) for x in self.share]
+        self.compressors = [self._compressor(x) for x in self.share]
+        self.cut = lru_cache(CUTS)(lambda i, room: self._compressor(self.share[i][len(self.share[i]) - room :]))
+
+    def _compressor(self, content: bytes) -> zstandard.ZstdCompressor:
+        data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data.precompute_compress(level=self.level)
+        return zstandard.ZstdCompressor(level=self.level, dict_data=data, write_content_size=False, write_dict_id=False)
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score (0 to 1) and whether the margin is too narrow; ("und", 0, True) without a letter or languages."""
@@ -53,13 +63,30 @@ class Languages:
             return "und", 0.0, True
         data = normal(text).encode()
         parts = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
-        sizes = np.array([sum(map(len, map(c.compress, parts))) for c in self.compressors], float)
+        size_with = lambda c: sum(map(len, map(c.compress, parts)))
+        sizes = np.array(list(map(size_with, self.compressors)), float)
+        cuts: dict[tuple[int, int], float] = {}
+
+        def beside(i: int, room: int) -> float:
+            """What a dictionary has to beat that has only `room` bytes: half way between i's whole one and i's cut to that."""
+            if room >= self.room[i]:
+                return sizes[i]
+            if (i, room) not in cuts:
+                cuts[i, room] = (sizes[i] + size_with(self.cut(i, room))) / 2
+            return cuts[i, room]
+
+        best = 0
+        for i in range(1, len(sizes)):
+            against = beside(best, self.room[i])
+            if sizes[i] < against or (sizes[i] == against and self.room[i] == self.room[best] and self.names[i] < self.names[best]):
+                best = i
+        # What each other language lost by: sizes are told apart at the smaller one's room.
+        lost = np.array([sizes[i] - beside(best, self.room[i]) if self.room[i] <= self.room[best] else beside(i, self.room[best]) - sizes[best] for i in range(len(sizes))])
         # Odds fall by half with each eighth of a byte a hundred bytes that a dictionary needs more.
-        lost = (sizes - sizes.min()) * 100 / len(data)
+        lost = np.maximum(lost, 0) * 100 / len(data)
         odds = np.exp2(-np.minimum(8 * lost, 200))
-        order = np.argsort(sizes, kind="stable")
-        narrow = len(order) > 1 and lost[order[1]] < self.margin
-        return self.names[order[0]], float(odds[order[0]] / odds.sum()), bool(narrow)
+        narrow = len(lost) > 1 and np.delete(lost, best).min() < self.margin
+        return self.names[best], float(odds[best] / odds.sum()), bool(narrow)
 
 
 def windows(text: str) -> list[str]:
@@ -69,16 +96,18 @@ def windows(text: str) -> list[str]:
 
 def cleaned(samples: dict[str, list[str]], level: int = LEVEL) -> dict[str, list[str]]:
     """The samples without the runs of WINDOW words that another language's texts explain better: passages in a foreign language would
-    make a dictionary match their other copies. Each half of the texts is judged by dictionaries of the other half."""
-    halves = [{k: v[i::2] for k, v in samples.items()} for i in (0, 1)]
-    if len(samples) < 2 or not all(all(h.values()) for h in halves):
+    make a dictionary match their other copies. Each half of the texts is judged by dictionaries of the other half; a
+    language with a single text stays as it is and judges both."""
+    single = {k: v for k, v in samples.items() if len(v) < 2}
+    halves = [{k: v[i::2] for k, v in samples.items() if k not in single} for i in (0, 1)]
+    if len(samples) < 2 or not halves[0]:
         return samples
-    judge = Languages(halves[0], level)
+    judge = Languages(halves[0] | single, level)
     for i in (1, 0):  # the second half's lines first; then dictionaries of what is left of it judge the first
         own = {k: [" ".join(x for x in windows(t) if judge.predict(x)[0] in (k, "und")) for t in v] for k, v in halves[i].items()}
         halves[i] = {k: [t for t in v if t.strip()] or halves[i][k] for k, v in own.items()}
-        judge = Languages(halves[i], level)
-    return {k: [t for pair in zip_longest(halves[0][k], halves[1][k]) for t in pair if t] for k in samples}
+        judge = Languages(halves[i] | single, level)
+    return single | {k: [t for pair in zip_longest(halves[0][k], halves[1][k]) for t in pair if t] for k in halves[0]}
 
 
 def training_texts(docs: DataFrame, learn: Column, *, key: str, text: str, lang: str, texts: int = TEXTS) -> dict[str, list[str]]:
