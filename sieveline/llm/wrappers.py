@@ -44,18 +44,21 @@ BLOCK_OPENERS = frozenset("p div article section main ul ol dl table h1 h2 h3 h4
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*)>|</?([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-#: A wrapper forgets elements that fewer than one in RARE of its pages have, once it has seen twice as many pages.
+#: A host's wrapper leaves out elements that fewer than one in RARE of its pages have, if it has twice as many pages. Until
+#: all its pages are merged, an element is forgotten only when its pages and those it may have been forgotten for (`missed`)
+#: are no more than one in RARE of the pages so far (lossy counting): what is first met late is judged like the rest.
 RARE = 500
 
 
 class Node:
-    """An element of a page (text in `parts`) or of a wrapper (pages seen, characters, text if it is the same on all)."""
+    """An element of a page (text in `parts`) or of a wrapper (pages seen, pages that may have been forgotten, characters,
+    text if it is the same on all)."""
 
-    __slots__ = ("key", "skip", "children", "pages", "chars", "text", "repeated")
+    __slots__ = ("key", "skip", "children", "pages", "missed", "chars", "text", "repeated")
 
     def __init__(self, key: str, skip: bool = False):
         self.key, self.skip, self.children = key, skip, []
-        self.pages, self.chars, self.text, self.repeated = 1, 0, None, False
+        self.pages, self.missed, self.chars, self.text, self.repeated = 1, 0, 0, None, False
 
 
 def _opened(name: str, attributes: str) -> tuple[str, bool]:
@@ -155,6 +158,7 @@ def merge(a: Node, b: Node) -> Node:
     """Aligns two wrappers of equal key."""
     out = Node(a.key, a.skip)
     out.pages, out.chars, out.repeated = a.pages + b.pages, a.chars + b.chars, a.repeated or b.repeated
+    out.missed = a.missed + b.missed
     out.text = a.text if a.text == b.text else None
     x, y = a.children, b.children
     if [c.key for c in x] == [c.key for c in y]:
@@ -170,16 +174,27 @@ def merge(a: Node, b: Node) -> Node:
                 out.children.append(merge(x[i], y[j]))
                 i, j = i + 1, j + 1
             elif j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
+                x[i].missed += b.pages // RARE  # the other side may have forgotten it
                 out.children.append(x[i])  # one side lacks it: optional, as it has fewer pages than its parent
                 i += 1
             else:
+                y[j].missed += a.pages // RARE
                 out.children.append(y[j])
                 j += 1
-    if out.pages >= 2 * RARE:
-        out.children = [c for c in out.children if c.pages * RARE >= out.pages]
+    if out.pages // RARE > max(a.pages, b.pages) // RARE:
+        out.children = [c for c in out.children if c.pages + c.missed > out.pages // RARE]
     return out
 
 
+def common(node: Node) -> Node:
+    """The wrapper of all pages of a host without its rare elements."""
+    if node.pages >= 2 * RARE:
+        node.children = [c for c in node.children if (c.pages + c.missed) * RARE >= node.pages]
+    for c in node.children:
+        common(c)
+    return node
+
+
 def expression(node: Node, pages: int | None = None) -> str:
     """The wrapper as a union-free regular expression over tags and slots, for people to read."""
     inside = "".join(expression(c, node.pages) for c in node.children)
@@ -188,13 +203,13 @@ def expression(node: Node, pages: int | None = None) -> str:
 
 
 def _pack(n: Node) -> list:
-    return [n.key, n.skip, n.pages, n.chars, n.text, n.repeated, [_pack(c) for c in n.children]]
+    return [n.key, n.skip, n.pages, n.missed, n.chars, n.text, n.repeated, [_pack(c) for c in n.children]]
 
 
 def _unpack(x: list) -> Node:
     n = Node(x[0], x[1])
-    n.pages, n.chars, n.text, n.repeated = x[2:6]
-    n.children = [_unpack(c) for c in x[6]]
+    n.pages, n.missed, n.chars, n.text, n.repeated = x[2:7]
+    n.children = [_unpack(c) for c in x[7]]
     return n
 
 
@@ -284,7 +299,7 @@ def infer(pages: DataFrame, *, url: str = "url", html: str = "html", salts: int
         return group.slice(0, 1).select(["host", "salt"]).append_column("wrapper", pa.array([json.dumps(_pack(merged))]))
 
     def last(group: pa.Table) -> pa.Table:
-        w = _unpack(json.loads(one(group)["wrapper"][0].as_py()))
+        w = common(_unpack(json.loads(one(group)["wrapper"][0].as_py())))
         return pa.table({"host": group["host"].slice(0, 1), "wrapper": [json.dumps(_pack(w))], "expression": [expression(w)], "path": [json.dumps(article_path(w))]})
 
     rows = pages.select(host(url).alias("host"), F.col(html).alias("html")).mapInArrow(own, "host string, salt int, wrapper string")
