@@ -25,7 +25,7 @@ from .sampling import labelled_sample
 
 BITS, ORDERS = 18, (3, 4, 5)
 #: Labelled rows that the fit uses at most; the rows with the smallest hash of their id.
-SAMPLE = 8_000
+SAMPLE = 12_000
 #: Words whose features one worker keeps before it starts afresh.
 CACHE = 400_000
 _RUNS = re.compile(r"[^\W\d_]+")
