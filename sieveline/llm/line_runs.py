@@ -54,7 +54,8 @@ class LineRuns:
         return rows and merged(rows)
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Takes in a batch of (doc_id, hi, lo); returns (hi, lo, last_id) of the keys that are new with it."""
+        """Takes in a batch of (doc_id, hi, lo); returns (hi, lo, last_id) of the keys that are new with it,
+        worked out only where it is used."""
         known = self._read([p for level in self.levels for p in level])
         # Documents first, each on its own key: a line that a third of all documents hold is counted in parts.
         pairs = batch.select("hi", "lo", "doc_id").distinct()
@@ -62,7 +63,7 @@ class LineRuns:
         own = self._read(self.levels[0][-1:])
         new = own.select("hi", "lo", "last_id")
         if known is not None:
-            new = stored(new.join(known.select("hi", "lo"), ["hi", "lo"], "left_anti"), "new-lines")  # before its runs are merged
+            new = new.join(known.select("hi", "lo"), ["hi", "lo"], "left_anti")  # of the runs as they were: no run is deleted
         level = 0
         while len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
