@@ -27,12 +27,6 @@ ROW_GROUP, PAGE = 16 << 20, 128 << 10
 _META = ("doc_id", "part", "offset", "n_tokens")
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    sizes = np.fromiter(map(len, arrays), np.int32, len(arrays))
-    flat = np.concatenate(arrays).astype(np.int32) if arrays else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
-
-
 def write_tokens(docs: DataFrame, path: str | None = None, *, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, end_id: int = 2) -> str:
     """Encodes every whole text, appends end_id and writes the file set; returns its folder.
 
@@ -45,14 +39,11 @@ def write_tokens(docs: DataFrame, path: str | None = None, *, key: str = "doc_id
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, offset = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                end = np.array([end_id], np.uint32)
-                ids = [np.concatenate([x, end]) for x in codec(tokenizer).encode(some.column(1).to_pylist())]
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-                before = offset + np.cumsum(sizes) - sizes
-                offset += int(sizes.sum())
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(before), pa.array(sizes), _lists(ids)], names=[*_META, "ids"])
+            for first, flat, size in codec(tokenizer).slices(batch.column(1), end_id):
+                before = offset + np.cumsum(size) - size
+                offset += len(flat)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(size)), pa.array(np.full(len(size), part, np.int32)), pa.array(before), pa.array(size), lists], names=[*_META, "ids"])
 
     # Texts are dealt out before they are encoded, so that sampling the range bounds encodes nothing.
     ordered = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

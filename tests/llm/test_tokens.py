@@ -33,6 +33,8 @@ def test_a_full_cache_starts_afresh(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_WORDS", 3)
     monkeypatch.setattr(tokens, "CACHE_CORES", 3)
     monkeypatch.setattr(tokens, "SLICE_CHARS", 10)
+    monkeypatch.setattr(tokens, "STEP", 2)
+    monkeypatch.setattr(tokens, "_codecs", {})
     assert same(["one two three four", "five six, one", "two!", *ODD])
 
 
