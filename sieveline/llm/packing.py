@@ -3,7 +3,8 @@
 Pieces are at most `capacity` tokens long, so the whole instance is one count for each length: at most `capacity` rows,
 however many documents there are. The driver solves that instance exactly as it would the list of pieces; its plan is a
 list of bin patterns with multiplicities. Each piece then learns its rank among the pieces of its length, and the rank
-picks its place in the plan.
+picks its place in the plan. Ranks need no sorting: a task numbers the pieces of each length as it makes them, and only
+the counts of tasks and lengths are summed up.
 
 Reduction (Martello and Toth, 1990): a set F of items that fits a bin dominates a set G if the items of G can be grouped
 so that each group fits under a different item of F. If F holds the largest item and dominates every set that holds it,
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -26,8 +28,6 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .runtime import stored
 from .tokens import TOKENIZER, codec
 
-#: Pieces of one length that are ranked in one task.
-RANKED = 100_000
 Pattern = tuple[tuple[int, int], ...]
 
 
@@ -151,50 +151,54 @@ def _segments(bins: list[tuple[int, Pattern]]) -> dict[str, np.ndarray]:
 
 
 def pieces(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, end_id: int = 1, capacity: int = 4096) -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32 of each piece of each document's ids (end_id appended)."""
+    """doc_id, piece, start, length and ids_crc32 of each piece of each document's ids (end_id appended); part, the task that
+    made it, and nth, the piece's number among that task's pieces of its length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([end_id], np.uint32)
+        part, made = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            keys = batch.column(0)
-            of, rows = [], []
-            for n, ids in enumerate(codec(tokenizer).encode(batch.column(1).to_pylist())):
-                ids = np.concatenate([ids, end]).astype("<u4", copy=False)
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    of.append(n)
-                    rows.append((piece, start, len(part), zlib.crc32(part)))
-            cols = list(zip(*rows)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(of, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64())))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for first, flat, size in codec(tokenizer).slices(batch.column(1), end_id):
+                many = -(-size // capacity)
+                of = np.repeat(np.arange(len(size)), many)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+                start = piece * capacity
+                length = np.minimum(size[of] - start, capacity)
+                raw, ends = memoryview(flat.astype("<u4", copy=False)).cast("B"), [0, *(4 * np.cumsum(length)).tolist()]
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(ends, ends[1:])]
+                # Pieces of one length are numbered in order.
+                order = np.argsort(length, kind="stable")
+                lengths, at, n = np.unique(length[order], return_index=True, return_counts=True)
+                nth = np.empty_like(length)
+                nth[order] = np.arange(len(order)) - np.repeat(at - made[lengths], n)
+                made[lengths] += n
+                cols = (pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(of), part, np.int32)), pa.array(nth))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + of)), *cols], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(cut, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return rows.mapInArrow(cut, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint")
 
 
 def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, end_id: int = 1, capacity: int = 4096) -> DataFrame:
-    """Packs all documents into sequences of at most `capacity` tokens: the columns of pieces(), sequence_id and offset.
+    """Packs all documents into sequences of at most `capacity` tokens: doc_id, piece, start, length, ids_crc32, sequence_id
+    and offset.
 
     Null texts are empty (a piece of end_id alone). Rows with the same key are packed each. An empty table gives no rows.
-    Ties between equal lengths go by key, piece and crc. Other columns of docs are not read.
+    Pieces of equal length go by their place in the input. Other columns of docs are not read.
     """
     spark = docs.sparkSession
     rows = stored(pieces(docs, key=key, text=text, tokenizer=tokenizer, end_id=end_id, capacity=capacity), "pieces")
-    counts = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}  # at most `capacity` rows
-    seg = _segments(plan(counts, capacity))
-    placed = StructType([*rows.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    out = rows.drop("part", "nth")
+    # Pieces were numbered as they were made; a task's first rank of a length is what the tasks before it made of that length.
+    made = stored(rows.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    counts = {r[0]: r[1] for r in made.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
+    placed = StructType([*out.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     if not counts:
         return spark.createDataFrame([], placed)
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = stored(made.select("part", "length", F.coalesce(before, F.lit(0)).alias("base")), "bases")
+    ranked = rows.join(bases, ["part", "length"]).select(*out.columns, (F.col("base") + F.col("nth")).alias("rank"))
 
-    # A length that many pieces have is ranked in several tasks; the ranks of each go on from the one before.
-    split = spark.createDataFrame([(k, -(-v // RANKED)) for k, v in counts.items()], "length bigint, deals int")
-    dealt = rows.join(F.broadcast(split), "length").withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("deals")).cast("int"))
-    deals = dealt.groupBy("length", "deal").count()
-    base = F.sum("count").over(Window.partitionBy("length").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1))
-    bases = deals.select("length", "deal", F.coalesce(base, F.lit(0)).alias("base"))
-    order = Window.partitionBy("length", "deal").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = dealt.withColumn("rank", F.row_number().over(order)).join(bases, ["length", "deal"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank") - 1).alias("rank"))
-
+    seg = _segments(plan(counts, capacity))
     first = (seg["size"] << 44) | seg["rank"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,6 +208,6 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer:
             nth = rank - seg["rank"][at]
             sequence = seg["sequence"][at] + nth // seg["each"][at]
             offset = seg["offset"][at] + nth % seg["each"][at] * length
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=placed.names)
 
     return ranked.mapInArrow(place, placed)

@@ -80,11 +80,11 @@ def test_pack_places_every_piece_once_without_gaps(spark):
     assert len(by) <= -(-sum(r.length for r in got) // 64) + 1
 
 
-def test_hot_length_is_ranked_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(packing, "RANKED", 7)
-    docs = spark.range(100).selectExpr("id AS doc_id", "'same words here' AS text")
-    got = packing.pack(docs, capacity=16).collect()
-    assert len({(r.sequence_id, r.offset) for r in got}) == 100
+def test_hot_length_is_ranked_in_parts(spark):
+    for parts in (1, 7):
+        docs = spark.range(100).selectExpr("id AS doc_id", "'same words here' AS text").repartition(parts)
+        got = packing.pack(docs, capacity=16).collect()
+        assert len(got) == 100 and len({(r.sequence_id, r.offset) for r in got}) == 100
 
 
 def test_empty_table(spark):
