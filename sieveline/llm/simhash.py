@@ -5,16 +5,20 @@ would need: of two fingerprints within the radius, one segment differs by one bi
 under every segment with each of its bits wiped (64 signatures), so that such a pair meets under an equal signature; the
 pairs that meet are verified on all 64 bits. Exact copies are one node of the index, whatever their number.
 
-A fingerprint may have several such words: each is indexed as above, and pairs that meet under any signature are verified
-on all bits. A similarity of shingles rather than a radius is not told by fingerprints at all: see `minhash`.
-
 Fingerprints that meet are searched breadth first: a found node leaves the rest of its bucket, so a bucket yields at most
 one link fewer than it has members (a spanning forest of all its links), never all pairs. A bucket above CELL members is
 handed on and dealt out as pairs of blocks, each a task of its own.
+
+For a similarity of shingle sets instead of a radius (`similar_documents`), fingerprints are candidates' index only. They
+have WIDTH words and hold the shingles of INDEX_SHINGLE words: an edited word changes fewer of these than of longer ones, so
+that fewer bits move. At a similarity of 0.8 (five words, edits here and there) a bit differs with a probability of 0.09, one
+of nine segments of 21 bits then differs by one bit at most with a probability of 0.99. Fingerprints within the radius form
+groups, and inside a group texts are compared on their shingle sets themselves, so that what is linked is exact.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +35,10 @@ SEED = 42
 CELL = 20_000
 #: Bytes of text that are hashed at once.
 SLICE = 1_000_000
+#: Of the index for a similarity: words of a shingle, words of 64 bits of a fingerprint.
+INDEX_SHINGLE, WIDTH = 2, 3
+#: Hashes of shingles that one task compares with each other; larger groups are dealt out as pairs of blocks of half as many.
+COMPARED = 4_000_000
 # Fixed values of XXH64.
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -285,24 +293,152 @@ def links(nodes: DataFrame, radius: int = 4, cell: int = CELL, width: int = 1, s
     return out
 
 
+def radius_for(similarity: float, bits: int) -> int:
+    """Bits in which fingerprints of texts with this Jaccard similarity differ at most, but for one pair in a hundred."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + 2.4 * math.sqrt(bits * share * (1 - share)))
+
+
+def noted(docs: DataFrame, *, key: str, text: str, shingle: int, width: int) -> DataFrame:
+    """doc_id, h (of the text as it is), node (of its words in lower case; zero without any), n_words, fp0, fp1, ..."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                words = [normal_words(x) for x in some.column(2).to_pylist()]
+                node = np.array([xxhash.xxh64_intdigest(x, SEED) if x else 0 for x in words], np.uint64).view(np.int64)
+                n = pa.array([x.count(b" ") + bool(x) for x in words], pa.int64())
+                fp = simhash(words, shingle, width).view(np.int64)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(node), n, *(pa.array(fp[:, w]) for w in range(width))], names=["doc_id", "h", "node", "n_words", *words_of(width)])
+
+    rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, h bigint, node bigint, n_words bigint, {', '.join(f'{c} bigint' for c in words_of(width))}")
+
+
+def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest, breadth first, of the links among these sets (sorted arrays): pairs of their numbers."""
+    vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(x) for x in sets])
+    sets = np.split(flat, np.cumsum(size)[:-1])
+    own = np.zeros(len(vocabulary), bool)
+    left, out = np.argsort(size, kind="stable"), []
+    held = np.concatenate([sets[i] for i in left])
+    while len(left) > 1:
+        queue = [left[0]]
+        left, held = left[1:], held[size[left[0]] :]
+        while queue and len(left):
+            x = queue.pop()
+            own[sets[x]] = True
+            n = size[left]
+            both = np.add.reduceat(own[held], np.cumsum(n) - n, dtype=np.int64)
+            own[sets[x]] = False
+            near = both >= similarity * (n + size[x] - both) - 1e-9
+            if near.any():
+                out += [(x, y) for y in left[near].tolist()]
+                queue += left[near].tolist()
+                held = held[np.repeat(~near, n)]
+                left = left[~near]
+    return out
+
+
+def _verified(similarity: float):
+    """Over rows (bucket columns..., node, shingles) sorted by bucket: yields the links (a, b) of each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, nodes, sets = None, [], []
+
+        def close() -> pa.RecordBatch:
+            pairs = similar_forest(sets, similarity) if len(sets) > 1 else []
+            a, b = (pa.array([nodes[p[k]] for p in pairs], pa.int64()) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for i, this in enumerate(zip(*(c.to_pylist() for c in batch.columns[:-1]))):
+                if this[:-1] != bucket and sets:
+                    yield close()
+                    nodes, sets = [], []
+                bucket = this[:-1]
+                nodes.append(this[-1])
+                sets.append(flat[ends[i] : ends[i + 1]].copy())
+        if sets:
+            yield close()
+
+    return run
+
+
+def similar_links(members: DataFrame, docs: DataFrame, *, text: str, shingle: int, similarity: float, compared: int = COMPARED) -> DataFrame:
+    """members: (root, node, h, n_words), one row a distinct text. Returns (a, b): links of the texts of each root, enough of
+    them to connect all that are linked."""
+    sizes = members.groupBy("root").agg(F.sum("n_words").alias("n"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    # In blocks of half of what a task compares; a group that fits is one block.
+    sizes = sizes.select("root", F.when(F.col("n") <= compared, 1).otherwise(F.ceil(2 * F.col("n") / compared)).cast("int").alias("blocks"))
+    wanted = stored(members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "members")
+    texts = docs.select(F.xxhash64(text).alias("h"), F.col(text).cast("binary").alias("text"))
+    texts = texts.join(wanted.select("h", "node", "root", "blocks", "block"), "h").dropDuplicates(["node"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                h, many = shingle_hashes([normal_words(x) for x in some.column(4).to_pylist()], shingle)
+                sets = [np.unique(x) for x in np.split(h, np.cumsum(many)[:-1])] if len(many) else []
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*some.columns[:4], lists], names=["node", "root", "blocks", "block", "shingles"])
+
+    sets = texts.select("node", "root", "blocks", "block", "text").mapInArrow(hashed, "node bigint, root bigint, blocks int, block int, shingles array<bigint>")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x != F.col("block")) | (F.col("blocks") == 1))
+    cells = sets.withColumn("other", F.explode(others))
+    cells = cells.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "shingles")
+    cells = cells.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return cells.mapInArrow(_verified(similarity), "a bigint, b bigint")
+
+
+def _placed(rows: DataFrame, roots: DataFrame, node: str = "node") -> DataFrame:
+    """rows and the root of each one's node: itself, if no link has it."""
+    return rows.join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
+
+
+def _labelled(prints: DataFrame, placed: DataFrame) -> DataFrame:
+    """prints and component_id: the smallest key of what has the same root. placed: (node, root, least_id)."""
+    placed = stored(placed.groupBy("node", "root").agg(F.min("least_id").alias("least_id")), "rooted")
+    least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return prints.join(placed.select("node", "root").join(least, "root").drop("root"), "node")
+
+
+def similar_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, width: int = WIDTH, index_shingle: int = INDEX_SHINGLE) -> DataFrame:
+    """doc_id and component_id: the smallest key of the documents that links reach, itself included. Links join texts whose
+    sets of shingles (a shorter text is one) have at least this Jaccard similarity, if fingerprints bring them together.
+
+    Null and blank texts are equal to each other. Very long texts are hashed whole. Rows with the same key are rows of the
+    result each. A null key is never a component's smallest unless all its keys are null. An empty table gives no rows. Other
+    columns of docs aren't read.
+    """
+    words = words_of(width)
+    prints = stored(noted(docs, key=key, text=text, shingle=index_shingle, width=width), "fingerprints")
+    nodes = stored(prints.groupBy("node", "n_words", *words).agg(F.min("doc_id").alias("least_id"), F.min("h").alias("h")).withColumn("fp", node_column(width)), "nodes")
+    near = links(nodes.select(*words).distinct(), radius_for(similarity, 64 * width), width=width, segments_for=4)
+    groups = _placed(nodes.select("fp", "node", "h", "n_words"), components(near), "fp")
+    found = similar_links(groups, docs, text=text, shingle=shingle, similarity=similarity)
+    roots = components(stored(found, "links"))
+    return _labelled(prints, _placed(nodes.select("node", "least_id"), roots)).select("doc_id", "component_id")
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, similarity: float | None = None, width: int = 1) -> DataFrame:
     """doc_id, fp0 (fp1, ... up to width) and component_id: the smallest key of the documents that links reach, itself
-    included. Links join fingerprints that differ in at most `radius` bits. If a similarity is given, they join texts whose
-    shingle sets have that Jaccard similarity (`minhash.near_duplicates`), and there are no fingerprints.
+    included. Links join fingerprints that differ in at most `radius` bits; if a similarity is given, see similar_documents.
 
-    Null and blank texts have fingerprint zero and link like any other. Rows with the same key are rows of the result
-    each. A null key is never a component's smallest unless all its keys are null. An empty table gives no rows.
+    Null and blank texts have fingerprint zero and link like any other. Very long texts are hashed whole. Rows with the same
+    key are rows of the result each. A null key is never a component's smallest unless all its keys are null. An empty table
+    gives no rows. Other columns of docs aren't read.
     """
     if similarity is not None:
-        from . import minhash
-
-        return minhash.near_duplicates(docs, key=key, text=text, shingle=shingle, similarity=similarity)
+        return similar_documents(docs, key=key, text=text, shingle=shingle, similarity=similarity, width=max(width, WIDTH))
     words = words_of(width)
     prints = stored(fingerprints(docs, key=key, text=text, shingle=shingle, width=width).withColumn("node", node_column(width)), "fingerprints")
     nodes = stored(prints.groupBy("node", *words).agg(F.min("doc_id").alias("least_id")), "nodes")
     roots = components(links(nodes.select(*words), radius, width=width, segments_for=radius))
-    placed = nodes.select("node", "least_id").join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
-    placed = stored(placed.groupBy("node", "root").agg(F.min("least_id").alias("least_id")), "rooted")
-    least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of = placed.select("node", "root").join(least, "root").select("node", "component_id")
-    return prints.join(of, "node").select("doc_id", *words, "component_id")
+    return _labelled(prints, _placed(nodes.select("node", "least_id"), roots)).select("doc_id", *words, "component_id")
