@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm import contamination, line_runs, minhash, packing, toxicity
+from sieveline.llm import contamination, line_runs, packing, simhash, toxicity
 from sieveline.llm.runtime import crc_mod, ship, stored, table
 
 #: Documents that score this much go.
@@ -35,7 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ship(spark)
     row = F.xxhash64("doc_id", "text")
     keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row.alias("row")).alias("key"), "text")
-    found = minhash.near_duplicates(keyed, key="key", shingle=5, similarity=0.8)
+    found = simhash.near_duplicates(keyed, key="key", shingle=5, similarity=0.8)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id.row").alias("__row")).distinct()
     kept = docs.withColumn("__row", row).join(keep, "__row", "left_semi")
     first = F.row_number().over(Window.partitionBy("__row").orderBy(*docs.columns))
