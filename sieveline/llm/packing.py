@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .runtime import stored
+from .runtime import stored, tidy
 from .tokens import TOKENIZER, codec
 
 Pattern = tuple[tuple[int, int], ...]
@@ -154,6 +154,7 @@ def pieces(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tokenize
     """doc_id, piece, start, length and ids_crc32 of each piece of each document's ids (end_id appended); part, the task that
     made it, and nth, the piece's number among that task's pieces of its length."""
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import fresh_path
+from .runtime import fresh_path, tidy
 from .tokens import TOKENIZER, codec
 
 ROW_GROUP, PAGE = 16 << 20, 128 << 10
@@ -36,6 +36,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, *, key: str = "doc_id
     spark = docs.sparkSession
     path = path or fresh_path(spark, "tokens")
 
+    @tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, offset = TaskContext.get().partitionId(), 0
         for batch in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linear import fit_logistic, sigmoid
-from .runtime import stored
+from .runtime import stored, tidy
 from .sampling import labelled_sample
 
 BITS, ORDERS = 18, (3, 4, 5)
@@ -162,6 +162,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, learn: Column, *, key: s
     carry = docs.columns if carry is None else carry
     out = "_score" if "score" in carry else "score"
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for batch in batches:
