@@ -1,4 +1,4 @@
-import hashlib
+import time
 from collections import defaultdict
 
 from sieveline.llm.line_runs import LineRuns, dedup_lines
@@ -55,7 +55,29 @@ def test_runs_compact_and_tell_new_keys(spark):
     assert all(len(level) < 2 for level in runs.levels) and len(runs.levels) == 3
     common = {r.hi: (r.n_docs, r.last_id) for r in runs.keys().collect()}
     assert common[100] == (15, 42) and set(common) == seen
-
-
-def test_digest_is_of_utf8():
-    assert hashlib.sha256("é".encode()).hexdigest() != hashlib.sha256("é".encode("latin-1")).hexdigest()
+    # Each key is in one run; what later batches add to it is in their increments.
+    assert sorted(r.hi for run in runs.runs() for r in run.collect()) == sorted(seen)
+    assert {(r.hi, r.n_docs, r.last_id) for r in runs.repeated(3).collect()} == {(h, *v) for h, v in common.items() if v[0] >= 3}
+    # A batch meets a run in its buckets: the run isn't dealt out anew.
+    first = runs.runs()[0]
+    plan = spark.range(9).selectExpr("id AS hi", "id AS lo").distinct().join(first.select("hi", "lo").hint("merge"), ["hi", "lo"], "left_anti")
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(runs.name)]
+
+
+def test_long_texts_take_time_in_proportion_to_their_lines(spark):
+    took = []
+    for n in (8_000, 80_000):
+        docs = spark.createDataFrame([(i, "\n".join(f"{LONG} {k}" for k in range(n))) for i in range(6)], "doc_id long, text string")
+        began = time.time()
+        rows = {r.doc_id: r for r in dedup_lines(docs).collect()}
+        took.append(time.time() - began)
+        assert all(rows[i].text == "" and rows[i].n_dropped == n for i in range(5)) and rows[5].n_dropped == 0
+    assert took[1] < 10 * took[0] + 5
+
+
+def test_rows_of_an_id_with_different_texts(spark):
+    docs = spark.createDataFrame([*((i, LONG) for i in range(6)), (2, f"{LONG}\nand more"), (2, LONG)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in dedup_lines(docs).collect())
+    assert got == sorted([(0, ""), (1, ""), (2, ""), (2, ""), (2, "and more"), (3, ""), (4, ""), (5, LONG)])
