@@ -274,15 +274,16 @@ def _search(radius: int, cell: int | None, width: int):
 def links(nodes: DataFrame, radius: int = 4, cell: int = CELL, width: int = 1, segments_for: int = 4) -> DataFrame:
     """nodes: (fp0, ...), distinct. Returns (a, b) of node ids: links within the radius, enough of them to connect all that
     are linked and meet under a signature."""
-    masks = [_signed(m) for m in _signatures(segments_for)]
+    masks = F.array(*[F.lit(_signed(m)) for m in _signatures(segments_for)])
     words = words_of(width)
     out_schema = f"a bigint, b bigint, {', '.join(f'{c} bigint' for c in words)}, hot boolean"
-    keyed = nodes.select(F.posexplode(F.array(*[F.col(c).bitwiseAND(F.lit(m)) for c in words for m in masks])).alias("k", "signature"), *words)
-    dealt = keyed.repartition("k", "signature").sortWithinPartitions("k", "signature")
+    # A signature follows from its number and the words: rows are dealt by it, but don't carry it.
+    signature = F.element_at(F.array(*words), F.floor(F.col("k") / 64).cast("int") + 1).bitwiseAND(F.element_at(masks, F.col("k") % 64 + 1))
+    keyed = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(64 * width - 1))).alias("k"), *words)
+    dealt = keyed.repartition("k", signature).select("k", signature.alias("signature"), *words).sortWithinPartitions("k", "signature")
     found = stored(dealt.mapInArrow(_search(radius, cell, width), out_schema), "links")
     out = found.where("not hot").select("a", "b")
     if found.where("hot").limit(1).count():
-        signature = F.element_at(F.array(*[F.col(c).bitwiseAND(F.lit(m)) for c in words for m in masks]), F.col("k") + 1)
         hot = found.where("hot").select(F.col("a").cast("int").alias("k"), *words).withColumn("signature", signature)
         sizes = hot.groupBy("k", "signature").count().select("k", "signature", F.ceil(F.col("count") * 2 / cell).cast("int").alias("blocks"))
         own = hot.join(sizes, ["k", "signature"]).withColumn("block", F.pmod(F.xxhash64(*words), F.col("blocks")).cast("int"))
@@ -375,6 +376,7 @@ def similar_links(members: DataFrame, docs: DataFrame, *, text: str, shingle: in
     sizes = members.groupBy("root").agg(F.sum("n_words").alias("n"), F.count(F.lit(1)).alias("members")).where("members > 1")
     # In blocks of half of what a task compares; a group that fits is one block.
     sizes = sizes.select("root", F.when(F.col("n") <= compared, 1).otherwise(F.ceil(2 * F.col("n") / compared)).cast("int").alias("blocks"))
+    sizes = stored(sizes, "sizes")  # a table of its own, so that the join can split a root with very many members
     wanted = stored(members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "members")
     texts = docs.select(F.xxhash64(text).alias("h"), F.col(text).cast("binary").alias("text"))
     texts = texts.join(wanted.select("h", "node", "root", "blocks", "block"), "h").dropDuplicates(["node"])
@@ -405,7 +407,7 @@ def _placed(rows: DataFrame, roots: DataFrame, node: str = "node") -> DataFrame:
 def _labelled(prints: DataFrame, placed: DataFrame) -> DataFrame:
     """prints and component_id: the smallest key of what has the same root. placed: (node, root, least_id)."""
     placed = stored(placed.groupBy("node", "root").agg(F.min("least_id").alias("least_id")), "rooted")
-    least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    least = stored(placed.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
     return prints.join(placed.select("node", "root").join(least, "root").drop("root"), "node")
 
 
