@@ -19,8 +19,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of a dictionary, training texts of a language at most, and longest text (in characters) that can be one of them.
+#: Bounds of what is learned, all parameters of identify(): bytes of a dictionary; training texts of a language at most (and
+#: no more than it takes for two dictionaries); characters of the longest text that can be one of them.
 DICTIONARY, TEXTS, LONGEST = 112 << 10, 400, 20_000
+#: Parts in which the training texts of a language are picked.
+PARTS = 64
 LEVEL, MARGIN = 6, 0.4
 #: Bytes that are compressed at once: beyond them a text would be its own dictionary.
 PIECE = 2048
@@ -41,11 +44,11 @@ def has_letter(text: str) -> bool:
 class Languages:
     """Dictionaries by language; scores texts."""
 
-    def __init__(self, samples: dict[str, list[str]], level: int = LEVEL, margin: float = MARGIN):
+    def __init__(self, samples: dict[str, list[str]], level: int = LEVEL, margin: float = MARGIN, dictionary: int = DICTIONARY):
         self.names = sorted(samples)
         self.margin = margin
         self.level = level
-        share = {k: b"\n".join(normal(t).encode() for t in samples[k])[-DICTIONARY:] for k in self.names}
+        share = {k: b"\n".join(normal(t).encode() for t in samples[k])[-dictionary:] for k in self.names}
         self.names.sort(key=lambda k: -len(share[k]))  # stable: of equal sizes, the language that sorts first
         self.share = [share[k] for k in self.names]
         self.room = [len(x) for x in self.share]
@@ -94,7 +97,7 @@ def windows(text: str) -> list[str]:
     return [" ".join(words[i : i + WINDOW]) for i in range(0, len(words), WINDOW)]
 
 
-def cleaned(samples: dict[str, list[str]], level: int = LEVEL) -> dict[str, list[str]]:
+def cleaned(samples: dict[str, list[str]], level: int = LEVEL, dictionary: int = DICTIONARY) -> dict[str, list[str]]:
     """The samples without the runs of WINDOW words that another language's texts explain better: passages in a foreign language would
     make a dictionary match their other copies. Each half of the texts is judged by dictionaries of the other half; a
     language with a single text stays as it is and judges both."""
@@ -102,37 +105,43 @@ def cleaned(samples: dict[str, list[str]], level: int = LEVEL) -> dict[str, list
     halves = [{k: v[i::2] for k, v in samples.items() if k not in single} for i in (0, 1)]
     if len(samples) < 2 or not halves[0]:
         return samples
-    judge = Languages(halves[0] | single, level)
+    judge = Languages(halves[0] | single, level, dictionary=dictionary)
     for i in (1, 0):  # the second half's lines first; then dictionaries of what is left of it judge the first
         own = {k: [" ".join(x for x in windows(t) if judge.predict(x)[0] in (k, "und")) for t in v] for k, v in halves[i].items()}
         halves[i] = {k: [t for t in v if t.strip()] or halves[i][k] for k, v in own.items()}
-        judge = Languages(halves[i] | single, level)
+        judge = Languages(halves[i] | single, level, dictionary=dictionary)
     return single | {k: [t for pair in zip_longest(halves[0][k], halves[1][k]) for t in pair if t] for k in halves[0]}
 
 
-def training_texts(docs: DataFrame, learn: Column, *, key: str, text: str, lang: str, texts: int = TEXTS) -> dict[str, list[str]]:
-    """At most `texts` whole texts a language, those with the least hash of their text (of the rows for which learn holds)."""
-    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.length(text).between(1, LONGEST)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    # The limit of each language is applied before rows move (WindowGroupLimit), so a common one is no hot group.
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= texts)
+def training_texts(docs: DataFrame, learn: Column, *, text: str, lang: str, texts: int = TEXTS, longest: int = LONGEST, dictionary: int = DICTIONARY) -> dict[str, list[str]]:
+    """At most `texts` different whole texts a language, those with the least hash (of the rows for which learn holds), and no
+    more of them than it takes for two dictionaries."""
+    rows = docs.where(learn & F.col(lang).isNotNull() & F.length(text).between(1, longest)).select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    # Hashes are picked first, in parts of a language and then of the whole, and only the texts of those are fetched.
+    hashes = rows.groupBy("lang", "h").agg(F.max(F.octet_length("text")).alias("size"))
+    for part in (F.pmod(F.xxhash64("h"), F.lit(PARTS)), F.lit(0)):
+        least = Window.partitionBy("lang", "part").orderBy("h")
+        hashes = hashes.withColumn("part", part).withColumn("n", F.row_number().over(least)).where(F.col("n") <= texts).select("lang", "h", "size")
+    before = F.sum("size").over(Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
+    chosen = hashes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < 2 * dictionary).select("lang", "h")
     out: dict[str, list[str]] = {}
-    for r in rows.orderBy("lang", "n").select("lang", "text").collect():
+    for r in rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).orderBy("lang", "h").select("lang", "text").collect():
         out.setdefault(r[0], []).append(r[1])
     return out
 
 
-def identify(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "text", lang: str = "lang", level: int = LEVEL, margin: float = MARGIN) -> DataFrame:
+def identify(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "text", lang: str = "lang", level: int = LEVEL, margin: float = MARGIN, texts: int = TEXTS, longest: int = LONGEST, dictionary: int = DICTIONARY) -> DataFrame:
     """doc_id, lang_pred, score and rejected for each row. Learns from the rows of docs for which `learn` holds and whose
-    language isn't null.
+    language isn't null, within the bounds `texts`, `longest` and `dictionary`.
 
     Null texts and texts without a letter get `und`, score 0, rejected. Without a training text all rows do. Equal sizes go
-    to the language that sorts first. Repeated rows are scored each. An empty table gives no rows. Other columns of docs
-    are not read.
+    to the language that sorts first. Very long texts are compressed whole, piece by piece. Repeated rows are scored each. An
+    empty table gives no rows. Other columns of docs are not read.
     """
-    samples = cleaned(training_texts(docs, learn, key=key, text=text, lang=lang), level)
+    samples = cleaned(training_texts(docs, learn, text=text, lang=lang, texts=texts, longest=longest, dictionary=dictionary), level, dictionary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages = Languages(samples, level, margin)
+        languages = Languages(samples, level, margin, dictionary)
         for batch in batches:
             name, score, rejected = zip(*map(languages.predict, batch.column(1).to_pylist())) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
