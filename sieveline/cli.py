@@ -24,21 +24,24 @@ def index(spark: SparkSession, source: str, out: str) -> dict[str, float]:
     store = ChunkStore(spark, out)
     found = chunks.chunks(files.where("parser IS NOT NULL"), chunks.parse_any)
     store.append_chunks(found.where("error IS NULL").drop("error"))
-    table = store.chunks()
-    lexical.postings(table).write.mode("overwrite").parquet(f"{out}/postings")
-    store.save_vectors(table.select(F.xxhash64("chunk_id").alias("chunk_id"), hash_embedding(tokens(F.col("content"))).alias("embedding")))
+    table = _table(store)
+    lexical.Index.of(table, field="searchable").save(f"{out}/postings")
+    store.save_vectors(table.select("chunk_id", hash_embedding(tokens(F.col("searchable"))).alias("embedding")))
     n = table.count()
     return {"files": sum(counts.values()), "java": counts.get("java", 0), "jsp": counts.get("jsp", 0), "config": counts.get("config", 0), "chunks": n, "documents": n, "embeddings": store.vectors().count(), "seconds": round(time.time() - began, 1)}
 
 
 def _table(store: ChunkStore):
-    return store.chunks().select(F.xxhash64("chunk_id").alias("chunk_id"), "content", "type", "file_path", "fqn", "start_line", "end_line", F.col("api_calls").alias("calls"), "imports", "mvc")
+    """The chunks once each (a source that is indexed again gives the same ids), with what they are found by."""
+    rows = store.chunks().dropDuplicates(["chunk_id"])
+    return rows.select(F.xxhash64("chunk_id").alias("chunk_id"), F.col("chunk_id").alias("id"), chunks.searchable(rows).alias("searchable"), "metadata_json", "content", "type", "file_path", "fqn", "start_line", "end_line", F.col("api_calls").alias("calls"), "imports", "mvc")
 
 
 def search(spark: SparkSession, path: str, text: str, limit: int = 10, kind: str | None = None) -> list[dict]:
     table = _table(ChunkStore(spark, path))
+    index = lexical.Index.load(spark, f"{path}/postings")
     query = spark.createDataFrame([(0, text)], "query_id int, query_text string")
-    hits = lexical.top(lexical.bm25_scores(table, lexical.query_terms(query), where=F.col("type") == kind if kind else None), limit)
+    hits = lexical.bm25_search(index, query, limit, among=table.where(F.col("type") == kind) if kind else None)
     rows = hits.join(table, "chunk_id").orderBy("rank").collect()
     return [{"score": r.score, "type": r.type, "place": f"{r.file_path}:{r.start_line}-{r.end_line}", "fqn": r.fqn, "content": r.content[:200]} for r in rows]
 
@@ -49,7 +52,7 @@ def retrofit(spark: SparkSession, path: str, diff_file: str, kind: str = "METHOD
     rows = diff.diff_lines(diffs).groupBy("file_no", "hunk_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("source"))
     queries = rows.select((F.col("file_no") * 100_000 + F.col("hunk_no")).cast("bigint").alias("query_id"), "source", F.lit("").alias("hint"), hash_embedding(tokens(F.col("source"))).alias("embedding"))
     store = ChunkStore(spark, path)
-    found = hybrid.pattern_search(_table(store), store.vectors(), queries, kind, config=hybrid.RetrievalConfig(threshold=0.0))
+    found = hybrid.pattern_search(_table(store), store.vectors(), queries, kind, config=hybrid.RetrievalConfig(threshold=0.0), index=lexical.Index.load(spark, f"{path}/postings"))
     return [r.asDict() for r in found.orderBy("query_id", "rank").collect()]
 
 

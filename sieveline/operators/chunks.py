@@ -11,7 +11,8 @@ from dataclasses import dataclass, field
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 SCHEMA = (
     "chunk_id string, content string, type string, file_path string, fqn string, start_line int, end_line int, imports array<string>,"
@@ -61,9 +62,13 @@ def chunks(files: DataFrame, parse: Callable[[str, str], list[Chunk]]) -> DataFr
     return files.select("path", "text").mapInArrow(run, SCHEMA)
 
 
-def searchable_text(c: Chunk) -> str:
-    parts = ([f"package {c.package_context};"] if c.package_context is not None else []) + [f"import {i};" for i in c.imports]
-    return "\n".join([*parts, *([""] if parts else []), *([c.class_context] if c.class_context else []), *c.annotations, c.content])
+def searchable(chunks: DataFrame) -> Column:
+    """What a chunk is found and embedded by: package, imports, class, annotations, then its content."""
+    none = F.array().cast("array<string>")
+    package = F.when(F.col("package_context").isNotNull(), F.array(F.concat(F.lit("package "), "package_context", F.lit(";")))).otherwise(none)
+    head = F.concat(package, F.transform(F.coalesce("imports", none), lambda i: F.concat(F.lit("import "), i, F.lit(";"))))
+    context = F.when(F.coalesce("class_context", F.lit("")) != "", F.array("class_context")).otherwise(none)
+    return F.array_join(F.concat(head, F.when(F.size(head) > 0, F.array(F.lit(""))).otherwise(none), context, F.coalesce("annotations", none), F.array("content")), "\n")
 
 
 # --- XML configuration -------------------------------------------------------------------------------------------------
@@ -143,9 +148,38 @@ _FIELD = re.compile(r"((?:@[\w.]+(?:\s*\([^)]*\))?\s*|\b(?:public|protected|priv
 _WORDS = {"return", "throw", "new", "else", "case", "import", "package", "goto", "assert", "if", "while", "for", "switch", "catch", "do", "try", "synchronized"}
 
 
+_MODIFIERS = frozenset("public protected private static final abstract synchronized native default strictfp transient volatile".split())
+
+
+def _blank(text: str) -> str:
+    return re.sub(r"[^\n]", " ", text)
+
+
 def _masked(text: str) -> str:
-    """The text with comments and literals blanked, same length and lines."""
-    return _HIDDEN.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    """The text with comments and literals blanked, same length and lines. So are annotations of parameters, and brackets
+    inside those of members: no parenthesis of theirs is taken for another's."""
+    masked = _HIDDEN.sub(lambda m: _blank(m[0]), text)
+    out, depth, at = [], 0, 0
+    for m in re.finditer(r"@(?!interface\b)[\w.]+(\s*\()?|[()]", masked):
+        if m.start() < at:
+            continue
+        if m[0][0] != "@":
+            depth += 1 if m[0] == "(" else -1
+            continue
+        end = m.end()
+        if m[1]:
+            inside = 1
+            while inside and end < len(masked):
+                inside += (masked[end] == "(") - (masked[end] == ")")
+                end += 1
+        if depth:
+            out += [masked[at : m.start()], _blank(masked[m.start() : end])]
+            at = end
+        elif m[1]:
+            out += [masked[at : m.end()], re.sub(r"[^\w\s.]", " ", masked[m.end() : end - 1])]
+            at = end - 1
+            depth += 1  # its own closing parenthesis comes next
+    return "".join([*out, masked[at:]])
 
 
 def _closing(masked: str, at: int) -> int:
@@ -157,8 +191,9 @@ def _closing(masked: str, at: int) -> int:
     raise ValueError("a brace is not closed")
 
 
-def _annotations(text: str) -> list[str]:
-    return [x.strip() for x in re.findall(r"@[\w.]+(?:\s*\([^)]*\))?", text)]
+def _annotations(text: str, masked: str) -> list[str]:
+    """The annotations of a piece of the text, found in the same piece of what is masked."""
+    return [text[m.start() : m.end()].strip() for m in re.finditer(r"@[\w.]+(?:\s*\([^)]*\))?", masked)]
 
 
 def complexity(masked: str) -> int:
@@ -213,20 +248,22 @@ def parse_java(path: str, text: str) -> list[Chunk]:
         start = m.start() + len(m[0]) - len(m[0].lstrip())
         methods, flat = [], list(own)
         for f in _METHOD.finditer(own):
-            if f[2] in _WORDS or own.count("{", 0, f.start()) != own.count("}", 0, f.start()):
-                continue
+            if f[2] in _WORDS or f[2] in _MODIFIERS or own.count("{", 0, f.start()) != own.count("}", 0, f.start()):
+                continue  # a constructor has no type
             end = _closing(own, f.end() - 1) if f[5] == "{" else f.end() - 1
             methods.append((f, end))
             flat[f.start() : end + 1] = [c if c == "\n" else " " for c in flat[f.start() : end + 1]]
         flat = "".join(flat)
-        fields = [f for f in _FIELD.finditer(flat) if f[2] not in _WORDS and flat.count("{", 0, f.start()) == flat.count("}", 0, f.start())]
+        level = lambda i: all(flat.count(a, 0, i) == flat.count(b, 0, i) for a, b in ("{}", "()"))
+        fields = [f for f in _FIELD.finditer(flat) if f[2] not in _WORDS and f[2] not in _MODIFIERS and level(f.start(2))]
         shared = {"imports": imports, "package_context": package}
-        annotated = text[m.start() : m.start() + len(m[1])]
-        out.append(Chunk("\n".join(source[line(start) - 1 : line(closed)]), "CLASS", path, fqn, line(start), line(closed), annotations=_annotations(annotated), metadata={"isInterface": m[2] == "interface", "isAbstract": "abstract" in m[1].split(), "methodCount": len(methods), "fieldCount": len(fields)}, **shared))
+        annotated = slice(m.start(), m.start() + len(m[1]))
+        out.append(Chunk("\n".join(source[line(start) - 1 : line(closed)]), "CLASS", path, fqn, line(start), line(closed), annotations=_annotations(text[annotated], masked[annotated]), metadata={"isInterface": m[2] == "interface", "isAbstract": "abstract" in m[1].split(), "methodCount": len(methods), "fieldCount": len(fields)}, **shared))
         for f, end in methods:
             a, b = opened + 1 + f.start(), opened + 1 + end
             a += len(f[0]) - len(f[0].lstrip())
-            marks, words = _annotations(text[opened + 1 + f.start() : opened + 1 + f.start() + len(f[1])]), f[1].split()
+            before = slice(opened + 1 + f.start(), opened + 1 + f.start() + len(f[1]))
+            marks, words = _annotations(text[before], masked[before]), f[1].split()
             mvc: dict[str, str] = {}
             for mark in marks:
                 if "@Action" in mark or "@RequestMapping" in mark:
@@ -241,8 +278,8 @@ def parse_java(path: str, text: str) -> list[Chunk]:
                 out.append(Chunk("\n".join(source[first - 1 : last]), "METHOD", path, f"{fqn}.{f[3]}", first, last, annotations=marks, class_context=context, api_calls=api_calls(code), mvc=mvc, metadata=metadata | more, **shared))
         for f in fields:
             a, b = opened + 1 + f.start() + len(f[0]) - len(f[0].lstrip()), opened + 1 + f.end() - 1
-            words = f[1].split()
-            out.append(Chunk("\n".join(source[line(a) - 1 : line(b)]), "FIELD", path, f"{fqn}.{f[3]}", line(a), line(b), annotations=_annotations(text[opened + 1 + f.start() : opened + 1 + f.start() + len(f[1])]), class_context=context, metadata={"type": f[2], "isStatic": "static" in words, "isFinal": "final" in words, "isPrivate": "private" in words, "isPublic": "public" in words}, **shared))
+            before, words = slice(opened + 1 + f.start(), opened + 1 + f.start() + len(f[1])), f[1].split()
+            out.append(Chunk("\n".join(source[line(a) - 1 : line(b)]), "FIELD", path, f"{fqn}.{f[3]}", line(a), line(b), annotations=_annotations(text[before], masked[before]), class_context=context, metadata={"type": f[2], "isStatic": "static" in words, "isFinal": "final" in words, "isPrivate": "private" in words, "isPublic": "public" in words}, **shared))
         for *_, n in inner:
             of_class(n)
 

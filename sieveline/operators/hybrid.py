@@ -39,13 +39,14 @@ def _recalled(candidates: DataFrame, store: DataFrame, queries: DataFrame, confi
     return lexical.top(near, k, score="similarity").withColumnRenamed("rank", "near_rank")
 
 
-def search(chunks: DataFrame, store: DataFrame, queries: DataFrame, config: RetrievalConfig = RetrievalConfig(), terms: DataFrame | None = None) -> DataFrame:
+def search(chunks: DataFrame, store: DataFrame, queries: DataFrame, config: RetrievalConfig = RetrievalConfig(), terms: DataFrame | None = None, index: lexical.Index | None = None) -> DataFrame:
     """query_id, chunk_id, bm25, graph, vector_similarity, llm_score, ranking_method, rank and the chunk's columns.
 
-    `terms` (query_id, term, qtf) may stand in for the tokens of query_text.
+    `terms` (query_id, term, qtf) may stand in for the tokens of query_text, a stored `index` for one of the chunks' content.
     """
+    index = index or lexical.Index.of(chunks)
     terms = lexical.query_terms(queries) if terms is None else terms
-    hits = lexical.top(lexical.bm25_scores(chunks, terms), config.prefilter)
+    hits = lexical.top(lexical.bm25_scores(index, terms), config.prefilter)
     own = chunks.select("chunk_id", "content", "type", "file_path", "fqn", "calls", "imports", "mvc")
     rows = hits.join(own, "chunk_id").join(queries.select("query_id", "query_text"), "query_id")
     kept = graph.graph_filter(graph.graph_score(rows, ["query_id"]))
@@ -63,10 +64,10 @@ def enhanced_query(source: Column, hint: Column) -> Column:
     return F.concat_ws(" ", F.concat_ws(" ", identifiers(source)), F.when(hint != "", hint))
 
 
-def pattern_search(chunks: DataFrame, store: DataFrame, queries: DataFrame, preferred: str, *, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+def pattern_search(chunks: DataFrame, store: DataFrame, queries: DataFrame, preferred: str, *, config: RetrievalConfig = RetrievalConfig(), index: lexical.Index | None = None) -> DataFrame:
     """queries: query_id, source, hint, embedding. Typed BM25 of the widened query, pattern filter, wider recall, rerank."""
     wide = queries.withColumn("query_text", enhanced_query(F.col("source"), F.col("hint")))
-    scores = lexical.bm25_scores(chunks, lexical.query_terms(wide), where=F.col("type") == preferred)
+    scores = lexical.bm25_scores(index or lexical.Index.of(chunks), lexical.query_terms(wide), among=chunks.where(F.col("type") == preferred))
     hits = lexical.top(scores, 2 * config.prefilter)
     rows = hits.join(chunks, "chunk_id").join(wide.select("query_id", F.col("query_text"), graph.pattern_context(F.col("source")).alias("context")), "query_id")
     kept = graph.pattern_filter(graph.pattern_score(rows, F.lit(preferred)))
@@ -74,3 +75,16 @@ def pattern_search(chunks: DataFrame, store: DataFrame, queries: DataFrame, pref
     found = lexical.top(near.join(kept.drop("rank"), ["query_id", "chunk_id"]), 2 * config.recall, score="similarity")
     ranked = rerank.rerank(found, "pattern_rerank").where(F.col("place") <= config.final)
     return ranked.select("query_id", "chunk_id", F.col("score").alias("bm25"), "pattern", F.col("similarity").alias("vector_similarity"), F.col("llm").alias("llm_score"), "combined", F.col("method").alias("ranking_method"), F.col("place").alias("rank"))
+
+
+def segments(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, rank, text, metadata): results (query_id, chunk_id, vector_similarity, llm_score, ranking_method, rank) as
+    texts with what is known of them. chunks may have start_line, end_line and metadata_json; their entries come first."""
+    known = {"chunk_id": "chunk_id", "chunk_type": "type", "file_path": "file_path", "fqn": "fqn", "start_line": "start_line", "end_line": "end_line"}
+    known = {k: c for k, c in known.items() if c in chunks.columns}
+    rows = found.select("query_id", "chunk_id", "vector_similarity", "llm_score", "ranking_method", "rank").join(chunks.select(*{"chunk_id", "content", *known.values(), *({"metadata_json"} & set(chunks.columns))}), "chunk_id")
+    entries = F.create_map(*[x for k, c in (known | {c: c for c in ("vector_similarity", "llm_score", "ranking_method")}).items() for x in (F.lit(k), F.col(c).cast("string"))])
+    if "metadata_json" in chunks.columns:
+        own = F.coalesce(F.from_json("metadata_json", "map<string,string>"), F.create_map().cast("map<string,string>"))
+        entries = F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key(entries, k)), entries)
+    return rows.select("query_id", "rank", F.col("content").alias("text"), F.map_filter(entries, lambda _, v: v.isNotNull()).alias("metadata"))

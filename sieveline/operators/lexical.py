@@ -1,13 +1,15 @@
 """BM25 over a chunk table (chunk_id, content and, for some searches, type, fqn, file_path).
 
-The index is four tables: postings(term, chunk_id, tf), doc_stats(chunk_id, dl), term_stats(term, df) and
-field_stats(n_docs, avgdl). A search of any number of queries is one plan: their terms (a small table) select postings
-before anything is shuffled.
+An index is three tables: postings(term, chunk_id, tf, dl), terms(term, df) and stats(n_docs, avgdl), which is one row. It
+is worked out from the chunks as it is used, or stored once and read by every search. A search of any number of queries is
+one plan: their terms (a small table) select postings before anything is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -41,18 +43,40 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25_scores(chunks: DataFrame, terms: DataFrame, *, field: str = "content", tokenizer=tokens, where: Column | None = None) -> DataFrame:
-    """(query_id, chunk_id, score) of every chunk that shares a term with a query (query_id, term, qtf). `where`, over the
-    chunks, filters results; counts stay those of all chunks."""
-    rows = term_rows(chunks, field, tokenizer)
-    docs = rows.select("chunk_id", F.size("terms").cast("bigint").alias("dl"))
-    wanted = terms.select("term").distinct()
-    hits = rows.select("chunk_id", F.size("terms").cast("bigint").alias("dl"), F.explode("terms").alias("term")).join(wanted, "term")
-    hits = hits.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    if where is not None:
-        hits = hits.join(chunks.where(where).select("chunk_id"), "chunk_id", "left_semi")
-    weighted = terms.join(df, "term").crossJoin(F.broadcast(field_stats(docs)))  # one row
+@dataclass(frozen=True)
+class Index:
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+    @staticmethod
+    def of(chunks: DataFrame, field: str = "content", tokenizer=tokens) -> Index:
+        """The index of the chunks that have the field."""
+        rows = term_rows(chunks, field, tokenizer).withColumn("dl", F.size("terms").cast("bigint"))
+        found = rows.select("chunk_id", "dl", F.explode("terms").alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+        return Index(found, found.groupBy("term").agg(F.count(F.lit(1)).alias("df")), field_stats(rows.select("dl")))
+
+    def save(self, path: str) -> Index:
+        """Writes the tables under a path, postings in order of terms so that readers of a few terms skip the others'."""
+        spark = self.postings.sparkSession
+        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        self.postings.repartition("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+        stored = spark.read.parquet(f"{path}/postings")
+        stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+        return Index.load(spark, path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Index:
+        return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats")))
+
+
+def bm25_scores(index: Index, terms: DataFrame, *, among: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score) of every chunk that shares a term with a query (query_id, term, qtf). `among` (chunk_id)
+    filters results; counts stay those of all chunks."""
+    hits = index.postings
+    if among is not None:
+        hits = hits.join(among.select("chunk_id"), "chunk_id", "left_semi")
+    weighted = terms.join(index.terms, "term").crossJoin(F.broadcast(index.stats))  # one row
     scored = hits.join(weighted, "term").withColumn("part", F.col("qtf") * idf(F.col("n_docs"), F.col("df")) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
     return scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
 
@@ -63,9 +87,9 @@ def top(scores: DataFrame, k: int, by: str = "query_id", score: str = "score", k
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25_search(chunks: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame:
+def bm25_search(index: Index, queries: DataFrame, k: int, *, tokenizer=tokens, among: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank) for queries (query_id, query_text)."""
-    return top(bm25_scores(chunks, query_terms(queries, options.get("tokenizer", tokens)), **options), k)
+    return top(bm25_scores(index, query_terms(queries, tokenizer), among=among), k)
 
 
 def glob_pattern(glob: str) -> str:

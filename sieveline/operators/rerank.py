@@ -52,15 +52,19 @@ def json_part(reply: Column) -> Column:
     return F.when(found != "", found).otherwise(F.trim(reply))
 
 
+def _rankings(text: Column) -> Column:
+    """The rankings of a reply; null if a field is missing, it has another shape, or it names a chunk twice."""
+    shape = "struct<rankings: array<struct<chunk_id: string, score: int, reasoning: string>>>"
+    r = F.from_json(json_part(text), shape, {"mode": "PERMISSIVE"})["rankings"]
+    whole = F.forall(r, lambda x: x["chunk_id"].isNotNull() & x["score"].isNotNull() & x["reasoning"].isNotNull())
+    once = F.size(F.array_distinct(F.transform(r, lambda x: x["chunk_id"]))) == F.size(r)
+    return F.when(r.isNotNull() & whole & once, F.transform(r, lambda x: F.struct(x["chunk_id"].alias("chunk_id"), F.greatest(F.lit(0), F.least(F.lit(10), x["score"])).alias("score"), x["reasoning"].alias("reasoning"))))
+
+
 def parse_rankings(replies: DataFrame) -> DataFrame:
     """(reply_id, chunk_id, score, reasoning) of replies (reply_id, text). A reply with a missing field, or of another
     shape, or that names a chunk twice, has no rankings."""
-    shape = "struct<rankings: array<struct<chunk_id: string, score: int, reasoning: string>>>"
-    parsed = F.from_json(json_part(F.col("text")), shape, {"mode": "PERMISSIVE"})["rankings"]
-    whole = F.forall("r", lambda x: x["chunk_id"].isNotNull() & x["score"].isNotNull() & x["reasoning"].isNotNull())
-    once = F.size(F.array_distinct(F.transform("r", lambda x: x["chunk_id"]))) == F.size("r")
-    rows = replies.select("reply_id", parsed.alias("r")).where(F.col("r").isNotNull() & whole & once)
-    return rows.select("reply_id", F.explode("r").alias("x")).select("reply_id", F.col("x.chunk_id").alias("chunk_id"), F.greatest(F.lit(0), F.least(F.lit(10), F.col("x.score"))).alias("score"), F.col("x.reasoning").alias("reasoning"))
+    return replies.select("reply_id", F.explode(_rankings(F.col("text"))).alias("x")).select("reply_id", "x.*")
 
 
 def merge(candidates: DataFrame, rankings: DataFrame, method: str, by: str = "query_id") -> DataFrame:
@@ -83,3 +87,43 @@ def rerank(candidates: DataFrame, method: str, scorer=jaccard_score, by: str = "
 def pattern_query(source: Column, kind: Column, hint: Column) -> Column:
     """Type, up to ten capitalised identifiers in order of occurrence, and the hint."""
     return F.concat_ws(" ", kind, F.concat_ws(" ", F.slice(capitalised(source), 1, 10)), F.when(hint != "", hint))
+
+
+PATTERN_FIELDS = ["chunk_id", "type", "type_match", "fqn", "content", "vector_similarity", "imports", "annotations", "api_calls", "mvc_mapping", "metadata"]
+
+
+def pattern_payload(candidates: DataFrame, by: str, preferred: Column) -> DataFrame:
+    """(by, payload) for a change's place: also whether the type is the preferred one, and what is known of the chunk."""
+    rows = candidates.withColumn("type_match", F.col("type").eqNullSafe(preferred)).withColumn("vector_similarity", F.col("similarity"))
+    for name, source in (("api_calls", "calls"), ("mvc_mapping", "mvc")):
+        rows = rows.withColumn(name, F.col(source)) if source in rows.columns else rows
+    return payload(rows, by, [c for c in PATTERN_FIELDS if c in rows.columns])
+
+
+def by_model(candidates: DataFrame, model, *, preferred: Column | None = None, by: str = "query_id") -> DataFrame:
+    """Reranks by a language model: `model` makes a column of replies of a column of prompts (one for each query).
+
+    candidates: by, chunk_id, type, fqn, content, similarity, rank, query_text and, with a preferred type, source and hint.
+    The first CANDIDATES of a query whose reply holds rankings are merged with them. A query whose reply holds none keeps all
+    its candidates, by similarity, and its method ends in `fallback`.
+    """
+    kind = "pattern" if preferred is not None else "llm"
+    if preferred is None:
+        asked = payload(candidates.withColumn("vector_similarity", F.col("similarity")), by, ["chunk_id", "type", "fqn", "content", "vector_similarity"])
+        asked = asked.join(candidates.groupBy(by).agg(F.first("query_text").alias("query_text")), by)
+        text = prompt(RELEVANCE_PROMPT, query=F.col("query_text"), code_chunks=F.col("payload"))
+    else:
+        rows = candidates.withColumn("_preferred", preferred)
+        asked = pattern_payload(rows, by, F.col("_preferred")).join(rows.groupBy(by).agg(*[F.first(c).alias(c) for c in ("source", "hint", "_preferred")]), by)
+        wide = pattern_query(F.col("source"), F.col("_preferred"), F.col("hint"))
+        text = prompt(PATTERN_PROMPT, source_code=truncated(F.col("source"), CONTENT), target_hint=F.col("hint"), preferred_type=F.col("_preferred"), query=wide, code_chunks=F.col("payload"))
+    replies = asked.select(by, _rankings(model(text)).alias("_rankings"))
+    told = candidates.join(replies, by)
+    key = candidates.schema["chunk_id"].dataType
+    silent = F.col("_rankings").isNull()
+    own = F.transform(F.filter("_rankings", lambda x: x["chunk_id"].cast(key) == F.col("chunk_id")), lambda x: x["score"] / 10.0)
+    told = told.where(silent | (F.col("rank") <= CANDIDATES)).withColumn("llm", F.coalesce(F.try_element_at(own, F.lit(1)), F.col("similarity")))
+    told = told.withColumn("combined", F.round(0.4 * F.col("similarity") + 0.6 * F.col("llm"), 7))
+    told = told.withColumn("method", F.when(silent, "vector_fallback" if kind == "llm" else "pattern_fallback").otherwise(f"{kind}_rerank"))
+    order = Window.partitionBy(by).orderBy(F.desc("combined"), F.asc("rank"))
+    return told.drop("_rankings").withColumn("place", F.row_number().over(order))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import KEYWORDS, attribute, code_tokens, package_of, tokens, truncated
 from ..operators import graph, hybrid, lexical, rerank, vectors
 from .corpora import document_chunks, replies, stored_vectors, table
+from ..sources.store import ChunkStore
 from .registry import query
 
 WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
@@ -34,6 +35,17 @@ SEARCH = "thing of worthless nonsense and the identity of them"
 FQN = "source || '.' || lang || '.d' || doc_id"
 
 
+_INDEXES: dict[tuple[str, str], lexical.Index] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """The stored index of the documents, built once a session; every search reads it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = lexical.Index.of(document_chunks(spark, sf_dir)).save(f"{ChunkStore(spark).path}/index")
+    return _INDEXES[key]
+
+
 def _bench(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
 
@@ -51,22 +63,21 @@ def tokenize_code(spark, sf_dir):
 
 @query(f"WITH {INDEX} SELECT term, df, sum_tf, n_docs, round(avgdl, 6) AS avgdl FROM (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS sum_tf FROM post GROUP BY 1), fs")
 def postings_stats(spark, sf_dir):
-    c = document_chunks(spark, sf_dir)
-    terms = lexical.postings(c).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("sum_tf"))
-    stats = lexical.field_stats(lexical.doc_stats(c))
-    return terms.crossJoin(F.broadcast(stats)).select("term", "df", "sum_tf", "n_docs", F.round("avgdl", 6).alias("avgdl"))
+    index = _index(spark, sf_dir)
+    terms = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("sum_tf"))
+    return terms.crossJoin(F.broadcast(index.stats)).select("term", "df", "sum_tf", "n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"WITH {INDEX}, qt AS (SELECT 0 AS query_id, term, count(*) AS qtf FROM (SELECT unnest(string_split('{SEARCH}', ' ')) AS term) GROUP BY 1, 2), {SCORES} SELECT chunk_id, score, CAST(row_number() OVER (ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM sc ORDER BY score DESC, chunk_id LIMIT 100")
 def bm25_topk(spark, sf_dir):
     one = spark.createDataFrame([(0, SEARCH)], "query_id int, query_text string")
-    return lexical.bm25_search(document_chunks(spark, sf_dir), one, 100).select("chunk_id", "score", "rank")
+    return lexical.bm25_search(_index(spark, sf_dir), one, 100).select("chunk_id", "score", "rank")
 
 
 @query(f"WITH {INDEX}, qt AS (SELECT 0 AS query_id, term, count(*) AS qtf FROM (SELECT unnest(string_split('{SEARCH} die eine', ' ')) AS term) GROUP BY 1, 2), {SCORES} SELECT chunk_id, score FROM sc JOIN documents ON doc_id = chunk_id WHERE lang = 'de' ORDER BY score DESC, chunk_id LIMIT 100")
 def bm25_type_filter(spark, sf_dir):
     one = lexical.query_terms(spark.createDataFrame([(0, SEARCH + " die eine")], "query_id int, query_text string"))
-    return lexical.top(lexical.bm25_scores(document_chunks(spark, sf_dir), one, where=F.col("type") == "de"), 100).select("chunk_id", "score")
+    return lexical.top(lexical.bm25_scores(_index(spark, sf_dir), one, among=document_chunks(spark, sf_dir).where("type = 'de'")), 100).select("chunk_id", "score")
 
 
 BATCH_SQL = f"WITH {INDEX}, {BENCH}, {SCORES}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM sc) SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10"
@@ -74,7 +85,7 @@ BATCH_SQL = f"WITH {INDEX}, {BENCH}, {SCORES}, r AS (SELECT *, CAST(row_number()
 
 @query(BATCH_SQL)
 def bm25_batch(spark, sf_dir):
-    return lexical.bm25_search(document_chunks(spark, sf_dir), _bench(spark, sf_dir), 10)
+    return lexical.bm25_search(_index(spark, sf_dir), _bench(spark, sf_dir), 10)
 
 
 @query(f"SELECT chunk_id, fqn, CAST(1.0 AS DOUBLE) AS score FROM (SELECT doc_id AS chunk_id, {FQN} AS fqn FROM documents) WHERE lower(fqn) LIKE 'src1_.en.%' ORDER BY fqn, chunk_id LIMIT 50")
@@ -210,7 +221,7 @@ BENCH_HITS = f"WITH {INDEX}, {BENCH}, {SCORES}, hits AS (SELECT * FROM (SELECT *
 
 def _graph_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, q = document_chunks(spark, sf_dir), _bench(spark, sf_dir)
-    hits = lexical.bm25_search(c, q, 100)
+    hits = lexical.bm25_search(_index(spark, sf_dir), q, 100)
     return graph.graph_score(hits.join(c.drop("content"), "chunk_id").join(q, "query_id"), ["query_id"])
 
 
@@ -244,7 +255,7 @@ pat AS (SELECT *, round(least(1.0, CASE WHEN lang = 'en' THEN 0.4 ELSE 0.0 END +
 def _pattern_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, q = document_chunks(spark, sf_dir), _bench(spark, sf_dir)
     contexts = q.select("query_id", graph.pattern_context(F.col("query_text")).alias("context"))
-    return graph.pattern_score(lexical.bm25_search(c, q, 100).join(c.drop("content"), "chunk_id").join(contexts, "query_id"), F.lit("en"))
+    return graph.pattern_score(lexical.bm25_search(_index(spark, sf_dir), q, 100).join(c.drop("content"), "chunk_id").join(contexts, "query_id"), F.lit("en"))
 
 
 @query(PATTERN + " SELECT query_id, chunk_id, pattern FROM pat")
@@ -275,8 +286,8 @@ def own_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     """Queries (query_id, query_text, embedding) and their terms."""
     v, c = stored_vectors(spark, sf_dir), document_chunks(spark, sf_dir)
     q = v.where("chunk_id % 20 = 0").join(c.select("chunk_id"), "chunk_id", "left_semi")
-    post = lexical.postings(c)
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df BETWEEN 2 AND 400")
+    index = _index(spark, sf_dir)
+    post, df = index.postings.drop("dl"), index.terms.where("df BETWEEN 2 AND 400")
     mine = post.join(q.select("chunk_id"), "chunk_id").join(df, "term").select(F.col("chunk_id").alias("query_id"), F.col("term").alias("word"), "tf")
     own = lexical.top(mine, 8, score="tf", key="word")
     texts = own.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]), " ").alias("query_text"))
@@ -290,13 +301,13 @@ COLUMNS = ("query_id", "chunk_id", "bm25", "graph", "vector_similarity", "llm_sc
 @query(OWN.replace("THRESHOLD", "0.0") + " SELECT query_id, chunk_id, score AS bm25, graph, similarity AS vector_similarity, similarity AS llm_score, 'vector_only' AS ranking_method, rank FROM final WHERE rank <= 10")
 def hybrid_search(spark, sf_dir):
     q, terms = own_queries(spark, sf_dir)
-    return hybrid.search(document_chunks(spark, sf_dir), stored_vectors(spark, sf_dir), q, hybrid.RetrievalConfig(threshold=0.0), terms).select(*COLUMNS)
+    return hybrid.search(document_chunks(spark, sf_dir), stored_vectors(spark, sf_dir), q, hybrid.RetrievalConfig(threshold=0.0), terms, _index(spark, sf_dir)).select(*COLUMNS)
 
 
 @query(OWN.replace("THRESHOLD", "0.3") + " SELECT query_id, chunk_id, similarity, rank FROM final WHERE rank <= 10")
 def hybrid_search_defaults(spark, sf_dir):
     q, terms = own_queries(spark, sf_dir)
-    found = hybrid.search(document_chunks(spark, sf_dir), stored_vectors(spark, sf_dir), q, terms=terms)
+    found = hybrid.search(document_chunks(spark, sf_dir), stored_vectors(spark, sf_dir), q, terms=terms, index=_index(spark, sf_dir))
     return found.select("query_id", "chunk_id", F.col("vector_similarity").alias("similarity"), "rank")
 
 
@@ -304,7 +315,7 @@ def hybrid_search_defaults(spark, sf_dir):
 def vector_recall(spark, sf_dir):
     q, terms = own_queries(spark, sf_dir)
     c, v = document_chunks(spark, sf_dir), stored_vectors(spark, sf_dir)
-    rows = lexical.top(lexical.bm25_scores(c, terms), 100).join(c.drop("content"), "chunk_id").join(q.select("query_id", "query_text"), "query_id")
+    rows = lexical.top(lexical.bm25_scores(_index(spark, sf_dir), terms), 100).join(c.drop("content"), "chunk_id").join(q.select("query_id", "query_text"), "query_id")
     kept = graph.graph_filter(graph.graph_score(rows, ["query_id"]))
     return hybrid.vector_recall(kept, vectors.knn_batch(v, q, 50, min_similarity=0.0)).select("query_id", "chunk_id", "similarity")
 
@@ -314,7 +325,7 @@ def pattern_search(spark, sf_dir):
     v = stored_vectors(spark, sf_dir)
     source = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("source"), F.lit("Service").alias("hint"))
     q = v.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id").join(source, "query_id")
-    return hybrid.pattern_search(document_chunks(spark, sf_dir), v, q, "en", config=hybrid.RetrievalConfig(threshold=0.0))
+    return hybrid.pattern_search(document_chunks(spark, sf_dir), v, q, "en", config=hybrid.RetrievalConfig(threshold=0.0), index=_index(spark, sf_dir))
 
 
 KEYS = "('" + "', '".join(KEYWORDS) + "')"
@@ -343,9 +354,9 @@ merged AS (SELECT *, {JACCARD} / 10.0 AS llm, round(0.4 * similarity + 0.6 * {JA
 SELECT query_id, chunk_id, CAST(llm AS DOUBLE) AS llm, CAST(combined AS DOUBLE) AS combined, 'METHOD' AS method, CAST(row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, rank) AS INTEGER) AS place FROM merged"""
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _candidates(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
     c, q = document_chunks(spark, sf_dir), _bench(spark, sf_dir)
-    return lexical.bm25_search(c, q, 20).withColumn("similarity", F.round(F.col("score") / 128, 6)).join(c.select("chunk_id", "content", "type", "fqn"), "chunk_id").join(q, "query_id")
+    return lexical.bm25_search(_index(spark, sf_dir), q, n).withColumn("similarity", F.round(F.col("score") / 128, 6)).join(c.select("chunk_id", "content", "type", "fqn"), "chunk_id").join(q, "query_id")
 
 
 @query(RERANK.replace("METHOD", "llm_rerank"))
@@ -358,9 +369,55 @@ def rerank_pattern(spark, sf_dir):
     return rerank.rerank(_candidates(spark, sf_dir), "pattern_rerank").select("query_id", "chunk_id", "llm", "combined", "method", "place")
 
 
-@query()
+FALLBACK = RERANK.split("pairs AS")[0].rstrip().rstrip(",").replace("rank <= 20", "rank <= 30")
+
+
+@query(FALLBACK + " SELECT query_id, chunk_id, similarity AS llm, round(0.4 * similarity + 0.6 * similarity, 7) AS combined, 'vector_fallback' AS method, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(0.4 * similarity + 0.6 * similarity, 7) DESC, rank) AS INTEGER) AS place FROM hits")
+def rerank_fallback(spark, sf_dir):
+    """A model that answers without rankings: all candidates stay, by similarity."""
+    found = rerank.by_model(_candidates(spark, sf_dir, 30), lambda prompt: F.when(prompt.contains("Search:"), "I can't tell."))
+    return found.select("query_id", "chunk_id", "llm", "combined", "method", "place")
+
+
+def _first_named(prompt):
+    """A model that gives nine points to the first chunk of its prompt."""
+    return F.format_string('{"rankings": [{"chunk_id": "%s", "score": 9, "reasoning": "first"}]}', F.regexp_extract(prompt, r'"chunk_id":(\d+)', 1))
+
+
+@query(FALLBACK + """, told AS (SELECT *, CASE WHEN rank = 1 THEN 0.9::DOUBLE ELSE similarity END AS llm FROM hits WHERE rank <= 20)
+SELECT query_id, chunk_id, llm, round(0.4 * similarity + 0.6 * llm, 7) AS combined, 'pattern_rerank' AS method, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(0.4 * similarity + 0.6 * llm, 7) DESC, rank) AS INTEGER) AS place FROM told""")
+def rerank_model(spark, sf_dir):
+    """A model that ranks, asked for the place of a change."""
+    rows = _candidates(spark, sf_dir, 30).withColumn("source", F.col("query_text")).withColumn("hint", F.lit("Service"))
+    return rerank.by_model(rows, _first_named, preferred=F.lit("en")).select("query_id", "chunk_id", "llm", "combined", "method", "place")
+
+
+@query(FALLBACK + " SELECT query_id, string_agg(chunk_id, ' ' ORDER BY rank) AS chunk_ids, count(*) FILTER (WHERE lang = 'en') AS of_type FROM hits JOIN documents ON doc_id = chunk_id WHERE rank <= 20 GROUP BY query_id")
+def pattern_payload(spark, sf_dir):
+    """What a model is asked about a change's place, read again."""
+    found = rerank.pattern_payload(_candidates(spark, sf_dir, 30), "query_id", F.lit("en"))
+    read = F.from_json("payload", "array<struct<chunk_id: string, type_match: boolean>>")
+    return found.select("query_id", F.array_join(F.transform(read, lambda x: x["chunk_id"]), " ").alias("chunk_ids"), F.size(F.filter(read, lambda x: x["type_match"])).cast("bigint").alias("of_type"))
+
+
+@query(f"SELECT text, source || '/' || doc_id AS file_path, lang AS chunk_type, CAST(similarity AS VARCHAR) AS similarity, 'vector_only' AS method FROM (SELECT vec_id, {COS.format(VECTOR)} AS similarity FROM embeddings e) JOIN documents ON doc_id = vec_id WHERE similarity >= 0.1")
+def result_segments(spark, sf_dir):
+    """Results as texts with metadata."""
+    near = stored_vectors(spark, sf_dir).select("chunk_id", F.round(vectors.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in VECTOR])), 6).alias("vector_similarity")).where("vector_similarity >= 0.1")
+    found = near.select(F.lit(0).alias("query_id"), "chunk_id", "vector_similarity", F.col("vector_similarity").alias("llm_score"), F.lit("vector_only").alias("ranking_method"), F.lit(1).alias("rank"))
+    told = hybrid.segments(found, document_chunks(spark, sf_dir))
+    return told.select("text", F.col("metadata.file_path").alias("file_path"), F.col("metadata.chunk_type").alias("chunk_type"), F.col("metadata.vector_similarity").alias("similarity"), F.col("metadata.ranking_method").alias("method"))
+
+
+@query(RERANK.split("pairs AS")[0].rstrip().rstrip(",") + " SELECT query_id, string_agg(chunk_id, ' ' ORDER BY rank) AS chunk_ids, string_agg(lang, ' ' ORDER BY rank) AS types, sum(length(CASE WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END))::BIGINT AS chars FROM hits JOIN documents ON doc_id = chunk_id GROUP BY query_id")
 def rerank_payload(spark, sf_dir):
-    return rerank.payload(_candidates(spark, sf_dir), "query_id", ["chunk_id", "type", "fqn", "content", "similarity"])
+    """The candidates' JSON, read again."""
+    found = rerank.payload(_candidates(spark, sf_dir), "query_id", ["chunk_id", "type", "fqn", "content", "similarity"])
+    read = F.from_json("payload", "array<struct<chunk_id: string, type: string, content: string>>")
+    of = lambda name: F.array_join(F.transform(read, lambda x: x[name]), " ")
+    chars = F.aggregate(F.transform(read, lambda x: F.length(x["content"])), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return found.select("query_id", of("chunk_id").alias("chunk_ids"), of("type").alias("types"), chars.alias("chars"))
+
 
 
 @query("""SELECT e.vec_id AS chunk_id, similarity, coalesce(quality / 1.0, similarity) AS llm, round(0.4 * similarity + 0.6 * coalesce(quality / 1.0, similarity), 7) AS combined, 'llm_rerank' AS method,

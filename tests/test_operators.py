@@ -8,7 +8,7 @@ from sieveline.plans import corpora
 
 def test_bm25_ranks_by_the_formula_and_ties_by_id(spark):
     c = spark.createDataFrame([(1, "alpha beta"), (2, "alpha alpha"), (3, "gamma"), (4, "alpha beta"), (5, None)], "chunk_id long, content string")
-    got = lexical.bm25_search(c, spark.createDataFrame([(0, "Alpha")], "query_id int, query_text string"), 10).orderBy("rank").collect()
+    got = lexical.bm25_search(lexical.Index.of(c), spark.createDataFrame([(0, "Alpha")], "query_id int, query_text string"), 10).orderBy("rank").collect()
     assert [r.chunk_id for r in got] == [2, 1, 4]
     idf, mean = np.log(1 + (4 - 3 + 0.5) / 3.5), 7 / 4
     assert got[0].score == pytest.approx(idf * 2 / (2 + 1.2 * (0.25 + 0.75 * 2 / mean)), abs=1e-6)
