@@ -77,24 +77,49 @@ def _chunks(spark: SparkSession, parse, where) -> DataFrame:
     return chunks.chunks(files(spark).where(where), parse)
 
 
-@query()
+#: What the literal files hold, written down by hand: file, type, name, first and last line.
+JAVA_ROWS = """('src/LoginAction.java', 'CLASS', 'com.acme.web.LoginAction', 3, 13), ('src/LoginAction.java', 'METHOD', 'com.acme.web.LoginAction.execute', 6, 11),
+('src/LoginAction.java', 'FIELD', 'com.acme.web.LoginAction.NAME', 5, 5), ('src/LoginAction.java', 'CLASS', 'com.acme.web.Inner', 12, 12), ('src/LoginAction.java', 'METHOD', 'com.acme.web.Inner.size', 12, 12),
+('src/Long.java', 'CLASS', 'Long', 1, 154), ('src/Long.java', 'METHOD', 'Long.run', 2, 101), ('src/Long.java', 'METHOD', 'Long.run', 77, 153), ('src/Broken.java', 'ERROR', NULL, NULL, NULL)"""
+JSP_ROWS = ", ".join(f"('web/login.jsp', 'JSP_FRAGMENT', 'login.jsp#{kind}', {line}, {line})" for kind, line in (("DIRECTIVE", 1), ("DIRECTIVE", 2), ("SCRIPTLET", 3), ("EXPRESSION", 3), ("FORM", 4), ("LOGIC", 5), ("BEAN", 5), ("INCLUDE", 5), ("SECTION", 6)))
+CONFIG_ROWS = ", ".join(
+    f"('{path}', 'CONFIG_SECTION', '{path.rpartition('/')[2]}{'#' * bool(kind)}{kind}', {first}, {last})"
+    for path, kind, first, last in (
+        *(("WEB-INF/web.xml", k, n, n) for k, n in (("servlet", 1), ("servlet_mapping", 2), ("filter", 3), ("filter_mapping", 3))),
+        *(("WEB-INF/struts-config.xml", k, n, n) for k, n in (("form_bean", 1), ("action", 2), ("forward", 2), ("forward", 3))),
+        *(("WEB-INF/tiles-defs.xml", "tile_definition", n, n) for n in (1, 2)),
+        ("conf/my-struts.xml", "", 1, 3),
+    )
+)
+PLACES = "SELECT * FROM (VALUES {}) AS t(file_path, type, fqn, start_line, end_line)"
+
+
+def _places(found: DataFrame) -> DataFrame:
+    return found.select("file_path", F.when(F.col("error").isNotNull(), "ERROR").otherwise(F.col("type")).alias("type"), "fqn", "start_line", "end_line")
+
+
+@query(PLACES.format(f"{JAVA_ROWS}, {JSP_ROWS}, {CONFIG_ROWS}, ('conf/bad/web.xml', 'ERROR', NULL, NULL, NULL)"))
 def all_chunks(spark, sf_dir):
-    return _chunks(spark, chunks.parse_any, F.lit(True))
+    return _places(_chunks(spark, chunks.parse_any, F.lit(True)))
 
 
-@query()
-def java_chunks(spark, sf_dir):
+def _java(spark: SparkSession) -> DataFrame:
     return _chunks(spark, chunks.parse_java, F.col("path").endswith(".java"))
 
 
+@query(PLACES.format(JAVA_ROWS))
+def java_chunks(spark, sf_dir):
+    return _places(_java(spark))
+
+
 @query("SELECT 'com.acme.web.LoginAction.execute' AS fqn, '/login' AS action_path, 'execute' AS action_method")
 def java_mvc(spark, sf_dir):
-    return java_chunks(spark, sf_dir).where(F.size("mvc") > 0).select("fqn", F.col("mvc.actionPath").alias("action_path"), F.col("mvc.actionMethod").alias("action_method"))
+    return _java(spark).where(F.size("mvc") > 0).select("fqn", F.col("mvc.actionPath").alias("action_path"), F.col("mvc.actionMethod").alias("action_method"))
 
 
 @query("SELECT * FROM (VALUES ('com.acme.web.Inner.size', 1), ('com.acme.web.LoginAction.execute', 3), ('Long.run', 1), ('Long.run', 1)) AS t(fqn, complexity)")
 def complexity(spark, sf_dir):
-    return java_chunks(spark, sf_dir).where("type = 'METHOD'").select("fqn", F.get_json_object("metadata_json", "$.complexity").cast("int").alias("complexity"))
+    return _java(spark).where("type = 'METHOD'").select("fqn", F.get_json_object("metadata_json", "$.complexity").cast("int").alias("complexity"))
 
 
 def _jsp(spark: SparkSession, *kinds: str) -> DataFrame:
@@ -102,9 +127,9 @@ def _jsp(spark: SparkSession, *kinds: str) -> DataFrame:
     return found.where(F.col("kind").isin(*kinds)) if kinds else found
 
 
-@query()
+@query(PLACES.format(JSP_ROWS))
 def jsp_chunks(spark, sf_dir):
-    return _jsp(spark)
+    return _places(_jsp(spark))
 
 
 @query("SELECT * FROM (VALUES (1, 'page', NULL), (2, 'page', 'page.jsp')) AS t(start_line, directive, include_path)")
@@ -214,11 +239,11 @@ def diff_process(spark, sf_dir):
     return rows.join(n, "diff_id", "left").withColumn("files", F.coalesce("files", F.lit(0)))
 
 
-@query("""WITH h AS (SELECT l_orderkey % 50 AS k, l_orderkey AS id, CAST(l_partkey % 3000 AS BIGINT) AS s, CAST(l_partkey % 3000 + l_quantity AS BIGINT) AS e FROM lineitem WHERE l_linenumber = 1),
+@query("""WITH h AS (SELECT l_orderkey % 50 AS k, l_orderkey * 10 + l_linenumber AS id, CAST(l_partkey % 3000 AS BIGINT) AS s, CAST(l_partkey % 3000 + l_quantity AS BIGINT) AS e FROM lineitem),
 c AS (SELECT p_partkey % 50 AS k, p_partkey AS id, p_partkey AS s, p_partkey + p_size AS e FROM part)
 SELECT h.id AS hunk, c.id AS chunk FROM h JOIN c ON h.k = c.k AND h.s <= c.e AND c.s <= h.e""")
 def hunk_chunk_overlap(spark, sf_dir):
-    h = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select((F.col("l_orderkey") % 50).alias("k"), F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 3000).alias("start"), (F.col("l_partkey") % 3000 + F.col("l_quantity")).cast("bigint").alias("end"))
+    h = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 50).alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") % 3000).alias("start"), (F.col("l_partkey") % 3000 + F.col("l_quantity")).cast("bigint").alias("end"))
     c = table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("k"), F.col("p_partkey").alias("id"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size")).alias("end"))
     return diff.overlap_join(h, c, ["k"], width=50).select(F.col("l_id").alias("hunk"), F.col("r_id").alias("chunk"))
 
@@ -228,12 +253,12 @@ def retrofit_plan(spark, sf_dir):
     """Each hunk of the diffs as a query on the chunks of the files: where the change belongs."""
     d = diff.diff_lines(diffs(spark)).groupBy("diff_id", "file_no", "hunk_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("source"))
     q = d.select((F.col("diff_id") * 10000 + F.col("file_no") * 100 + F.col("hunk_no")).cast("bigint").alias("query_id"), "source", F.lit("").alias("hint"), hash_embedding(tokens(F.col("source"))).alias("embedding"))
-    c = all_chunks(spark, sf_dir).where("error IS NULL").select(F.xxhash64("chunk_id").alias("chunk_id"), "content", "type", "file_path", "fqn", F.col("api_calls").alias("calls"), "imports", "mvc")
+    c = _chunks(spark, chunks.parse_any, F.lit(True)).where("error IS NULL").select(F.xxhash64("chunk_id").alias("chunk_id"), "content", "type", "file_path", "fqn", F.col("api_calls").alias("calls"), "imports", "mvc")
     v = c.select("chunk_id", hash_embedding(tokens(F.col("content"))).alias("embedding"))
     return hybrid.pattern_search(c, v, q, "METHOD", config=hybrid.RetrievalConfig(threshold=0.0))
 
 
-@query()
+@query("SELECT vec_id AS chunk_id, CAST(len(embedding) AS INTEGER) AS dims FROM embeddings")
 def vector_roundtrip(spark, sf_dir):
     """Vectors written as JSON and read again."""
     from ..sources.store import ChunkStore

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import KEYWORDS, attribute, code_tokens, package_of, tokens, truncated
@@ -270,11 +270,10 @@ def pattern_filter(spark, sf_dir):
 
 # --- cascades ----------------------------------------------------------------------------------------------------------
 
-#: A stored document as a query: its eight most frequent terms that 2 to 400 documents hold, and its vector.
+#: A stored document as a query: its whole text, and its vector.
 OWN = f"""WITH {INDEX},
 q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 20 = 0 AND vec_id IN (SELECT doc_id FROM documents)),
-own AS (SELECT chunk_id AS query_id, term, row_number() OVER (PARTITION BY chunk_id ORDER BY tf DESC, term) AS n FROM post JOIN dfs USING (term) WHERE df BETWEEN 2 AND 400 AND chunk_id IN (SELECT query_id FROM q)),
-qt AS (SELECT query_id, term, 1 AS qtf FROM own WHERE n <= 8), qs AS (SELECT query_id, string_agg(term, ' ' ORDER BY n) AS query_text FROM own WHERE n <= 8 GROUP BY 1), {SCORES},
+qt AS (SELECT chunk_id AS query_id, term, tf AS qtf FROM post WHERE chunk_id IN (SELECT query_id FROM q)), qs AS (SELECT doc_id AS query_id, text AS query_text FROM documents WHERE doc_id IN (SELECT query_id FROM q)), {SCORES},
 hits AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM sc) WHERE rank <= 100), {GRAPH}, {FILTERED},
 near AS (SELECT query_id, e.vec_id AS chunk_id, {COS.format('q.embedding')} AS similarity FROM q, embeddings e),
 nearest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS near_rank FROM near WHERE similarity >= THRESHOLD) WHERE near_rank <= 50),
@@ -282,17 +281,11 @@ recalled AS (SELECT query_id, chunk_id, similarity, score, graph FROM nearest JO
 final AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS INTEGER) AS rank FROM recalled)"""
 
 
-def own_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Queries (query_id, query_text, embedding) and their terms."""
-    v, c = stored_vectors(spark, sf_dir), document_chunks(spark, sf_dir)
-    q = v.where("chunk_id % 20 = 0").join(c.select("chunk_id"), "chunk_id", "left_semi")
-    index = _index(spark, sf_dir)
-    post, df = index.postings.drop("dl"), index.terms.where("df BETWEEN 2 AND 400")
-    mine = post.join(q.select("chunk_id"), "chunk_id").join(df, "term").select(F.col("chunk_id").alias("query_id"), F.col("term").alias("word"), "tf")
-    own = lexical.top(mine, 8, score="tf", key="word")
-    texts = own.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]), " ").alias("query_text"))
-    terms = own.select("query_id", F.col("word").alias("term"), F.lit(1).alias("qtf"))
-    return q.withColumnRenamed("chunk_id", "query_id").join(texts, "query_id"), terms
+def own_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries (query_id, query_text, embedding): every stored vector whose id is divisible by 20, with its document's text."""
+    v = stored_vectors(spark, sf_dir).where("chunk_id % 20 = 0")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("query_text"))
+    return v.join(texts, "chunk_id").withColumnRenamed("chunk_id", "query_id")
 
 
 COLUMNS = ("query_id", "chunk_id", "bm25", "graph", "vector_similarity", "llm_score", "ranking_method", "rank")
@@ -300,22 +293,21 @@ COLUMNS = ("query_id", "chunk_id", "bm25", "graph", "vector_similarity", "llm_sc
 
 @query(OWN.replace("THRESHOLD", "0.0") + " SELECT query_id, chunk_id, score AS bm25, graph, similarity AS vector_similarity, similarity AS llm_score, 'vector_only' AS ranking_method, rank FROM final WHERE rank <= 10")
 def hybrid_search(spark, sf_dir):
-    q, terms = own_queries(spark, sf_dir)
-    return hybrid.search(document_chunks(spark, sf_dir), stored_vectors(spark, sf_dir), q, hybrid.RetrievalConfig(threshold=0.0), terms, _index(spark, sf_dir)).select(*COLUMNS)
+    found = hybrid.search(document_chunks(spark, sf_dir), stored_vectors(spark, sf_dir), own_queries(spark, sf_dir), hybrid.RetrievalConfig(threshold=0.0), index=_index(spark, sf_dir))
+    return found.select(*COLUMNS)
 
 
 @query(OWN.replace("THRESHOLD", "0.3") + " SELECT query_id, chunk_id, similarity, rank FROM final WHERE rank <= 10")
 def hybrid_search_defaults(spark, sf_dir):
-    q, terms = own_queries(spark, sf_dir)
-    found = hybrid.search(document_chunks(spark, sf_dir), stored_vectors(spark, sf_dir), q, terms=terms, index=_index(spark, sf_dir))
+    found = hybrid.search(document_chunks(spark, sf_dir), stored_vectors(spark, sf_dir), own_queries(spark, sf_dir), index=_index(spark, sf_dir))
     return found.select("query_id", "chunk_id", F.col("vector_similarity").alias("similarity"), "rank")
 
 
 @query(OWN.replace("THRESHOLD", "0.0") + " SELECT query_id, chunk_id, similarity FROM recalled")
 def vector_recall(spark, sf_dir):
-    q, terms = own_queries(spark, sf_dir)
+    q = own_queries(spark, sf_dir)
     c, v = document_chunks(spark, sf_dir), stored_vectors(spark, sf_dir)
-    rows = lexical.top(lexical.bm25_scores(_index(spark, sf_dir), terms), 100).join(c.drop("content"), "chunk_id").join(q.select("query_id", "query_text"), "query_id")
+    rows = lexical.bm25_search(_index(spark, sf_dir), q, 100).join(c.drop("content"), "chunk_id").join(q.select("query_id", "query_text"), "query_id")
     kept = graph.graph_filter(graph.graph_score(rows, ["query_id"]))
     return hybrid.vector_recall(kept, vectors.knn_batch(v, q, 50, min_similarity=0.0)).select("query_id", "chunk_id", "similarity")
 
@@ -425,8 +417,8 @@ CAST(row_number() OVER (ORDER BY round(0.4 * similarity + 0.6 * coalesce(quality
 FROM (SELECT vec_id, COS AS similarity FROM embeddings e) e LEFT JOIN labels ON doc_id = vec_id""".replace("COS", COS.format(VECTOR)))
 def rerank_merge(spark, sf_dir):
     """Labels as a model's scores: quality 1 is ten points."""
-    near = vectors.knn_by_vector(stored_vectors(spark, sf_dir), VECTOR, 1 << 30).withColumn("query_id", F.lit(0))
-    ranked = lexical.top(near, 1 << 30, score="similarity")
+    near = stored_vectors(spark, sf_dir).select(F.lit(0).alias("query_id"), "chunk_id", F.round(vectors.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in VECTOR])), 6).alias("similarity"))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")))
     scores = table(spark, sf_dir, "labels").select(F.lit(0).alias("query_id"), F.col("doc_id").alias("chunk_id"), (10 * F.col("quality")).alias("score"))
     return rerank.merge(ranked, scores, "llm_rerank").select("chunk_id", "similarity", "llm", "combined", "method", "place")
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.operators import chunks, diff, graph, lexical, rerank, vectors
+from sieveline.operators import chunks, diff, graph, hybrid, lexical, rerank, vectors
 from sieveline.plans import corpora
 
 
@@ -92,3 +92,61 @@ def test_java_chunks():
 def test_bad_files_are_reported_not_fatal(spark):
     got = chunks.chunks(corpora.files(spark), chunks.parse_any).where("error IS NOT NULL").collect()
     assert {r.file_path for r in got} == {"src/Broken.java", "conf/bad/web.xml"}
+
+
+JAVA = """package a.b;
+import x.Y;
+public class C extends D {
+  @Inject(value = @Named("q")) private final Map<String, List<Integer>> m = f(1), n;
+  public C(@A("x") int x, int y) { int z = 1; }
+  C() {}
+  @RequestMapping(value = {"/a"}, method = M.GET)
+  public String show(@PathVariable("id") int id, @Valid(groups = {G.class}) Model m) { if (a) { b(); } return c.d(); }
+  private static <T> List<T> of(T a, Map<K, V> b) throws E, F { return null; }
+}
+"""
+
+
+def test_java_methods_with_annotated_parameters_and_constructors():
+    found = [(c.type, c.fqn, c.start_line, c.end_line, c.annotations) for c in chunks.parse_java("C.java", JAVA)]
+    assert found == [
+        ("CLASS", "a.b.C", 3, 10, []),
+        ("METHOD", "a.b.C.show", 7, 8, ['@RequestMapping(value = {"/a"}, method = M.GET)']),
+        ("METHOD", "a.b.C.of", 9, 9, []),
+        ("FIELD", "a.b.C.m", 4, 4, ['@Inject(value = @Named("q"))']),
+    ]
+    show = chunks.parse_java("C.java", JAVA)[1]
+    assert show.metadata["parameterCount"] == 2 and show.mvc == {"actionPath": "/a"} and show.api_calls == ["b", "c.d"]
+
+
+def test_a_stored_index_gives_the_same_scores(spark, tmp_path):
+    c = spark.createDataFrame([(i, " ".join(f"t{j}" for j in range(i % 7 + 1))) for i in range(40)] + [(50, None), (51, "")], "chunk_id long, content string")
+    q = spark.createDataFrame([(1, "t0 t6"), (2, "t3 t3 nothing"), (3, None)], "query_id int, query_text string")
+    fresh = lexical.Index.of(c)
+    stored = fresh.save(str(tmp_path / "index"))
+    rows = lambda index: sorted(map(tuple, lexical.bm25_search(index, q, 5).collect()))
+    assert rows(fresh) == rows(stored) == rows(lexical.Index.load(spark, str(tmp_path / "index"))) and len(rows(fresh)) == 10
+
+
+def test_replies_without_rankings_fall_back(spark):
+    rows = [(q, c, "T", f"f{c}", f"text {c}", round(0.5 - c / 100, 6), c, f"query {q}") for q in (1, 2, 3) for c in range(1, 26)]
+    cand = spark.createDataFrame(rows, "query_id int, chunk_id long, type string, fqn string, content string, similarity double, rank int, query_text string")
+    reply = '{"rankings": [{"chunk_id": "7", "score": 10, "reasoning": "it"}, {"chunk_id": "99", "score": 3, "reasoning": "made up"}]}'
+    model = lambda p: F.when(p.contains("query 1"), reply).when(p.contains("query 2"), '{"rankings": [{"chunk_id": "7"}]}')
+    got = {}
+    for r in rerank.by_model(cand, model).collect():
+        got.setdefault(r.query_id, []).append((r.place, r.chunk_id, r.method))
+    assert sorted(got[1])[0] == (1, 7, "llm_rerank") and len(got[1]) == 20
+    for q in (2, 3):
+        assert sorted(got[q]) == [(c, c, "vector_fallback") for c in range(1, 26)]
+
+
+def test_searchable_text_and_segments(spark):
+    rows = [("k", "body", "METHOD", "a/C.java", "C.m", 3, 9, "p", ["i.J"], ["@X"], "class C", '{"complexity": 2}'), ("n", "alone", "JSP_FRAGMENT", "a.jsp", None, 1, 1, None, [], None, None, None)]
+    c = spark.createDataFrame(rows, "chunk_id string, content string, type string, file_path string, fqn string, start_line int, end_line int, package_context string, imports array<string>, annotations array<string>, class_context string, metadata_json string")
+    texts = {r[0]: r[1] for r in c.select("chunk_id", chunks.searchable(c)).collect()}
+    assert texts == {"k": "package p;\nimport i.J;\n\nclass C\n@X\nbody", "n": "alone"}
+    found = spark.createDataFrame([(1, "k", 0.5, 0.7, "llm_rerank", 1), (1, "n", 0.4, 0.4, "llm_rerank", 2)], "query_id int, chunk_id string, vector_similarity double, llm_score double, ranking_method string, rank int")
+    got = {r["rank"]: (r.text, r.metadata) for r in hybrid.segments(found, c).collect()}
+    assert got[1] == ("body", {"complexity": "2", "chunk_id": "k", "chunk_type": "METHOD", "file_path": "a/C.java", "fqn": "C.m", "start_line": "3", "end_line": "9", "vector_similarity": "0.5", "llm_score": "0.7", "ranking_method": "llm_rerank"})
+    assert got[2][0] == "alone" and "fqn" not in got[2][1]
