@@ -21,9 +21,9 @@ import pyarrow.compute as pc
 TOKENIZER = "word_bpe_49k.json"
 #: Words that go the library's whole way, and runs of letters or marks, that one worker holds; beyond them the half stays
 #: that most slices had. Speed only; results don't depend on it.
-CACHE_WORDS, CACHE_CORES = 50_000, 300_000
+CACHE_WORDS, CACHE_CORES = 50_000, 400_000
 #: Characters that are encoded at once, and words that are looked up at once (a very long text is a slice of its own).
-SLICE_CHARS, STEP = 2_000_000, 1_000_000
+SLICE_CHARS, STEP = 3_000_000, 1_000_000
 #: Letters that normalisation only lower-cases, and marks that the byte-level alphabet leaves as they are. A run of the
 #: former and then of the latter is two tokens of the pre-tokenizer at most.
 _LETTERS = "".join(chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x100)) if c not in (0xD7, 0xF7))

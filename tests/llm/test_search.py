@@ -41,6 +41,15 @@ def test_bm25_is_exact(spark, monkeypatch, block, long):
     assert search.search(d.where("false"), q, 5).count() == 0 and search.search(d, q.where("false"), 5).count() == 0
 
 
+def test_a_very_long_text_and_rows_without_ids(spark):
+    docs = [(1, "alpha " * 50_000 + "omega"), (None, "alpha omega"), (2, "alpha"), (2, "omega omega")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    q = spark.createDataFrame([(5, "omega"), (None, "alpha"), (6, "alpha alpha omega"), (6, "omega")], "query_id long, text string")
+    got = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in search.search(d, q, 5).collect())
+    want = brute_bm25([(2**63 - 1 if i is None else i, t) for i, t in docs], [(5, "omega"), (6, "alpha alpha omega omega")], 5)
+    assert [x[:3] for x in got] == sorted((q, r, i) for q, i, _, r in want)
+
+
 ITEM = " ".join(f"Word{i}," for i in range(30))
 
 
