@@ -46,37 +46,35 @@ def _strings(array: pa.StringArray) -> list[str]:
 
 
 class Held:
-    """The ids of at most `most` strings (or of one call's, if they are more)."""
+    """The ids of at most `most` strings (or of one call's, if they are more). They stay in Arrow: a lookup is one hash join."""
 
     def __init__(self, most: int, learn: Callable[[list[str]], Ids]):
         self.most, self.learn = most, learn
-        self._take([], np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self._take(pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32))
 
-    def _take(self, words: list[str], ids: np.ndarray, size: np.ndarray, met: np.ndarray) -> None:
-        self.index = dict(zip(words, range(len(words))))
-        self.start, self.size, self.pool, self.met = np.cumsum(size) - size, size, ids, met
+    def _take(self, words: pa.StringArray, ids: np.ndarray, size: np.ndarray, met: np.ndarray) -> None:
+        self.words, self.start, self.size, self.pool, self.met = words, np.cumsum(size) - size, size, ids, met
 
     def _forget(self) -> None:
         best = np.argsort(-self.met, kind="stable")[: self.most // 2]
         keep = np.sort(best[self.met[best] > 1])
-        words = list(self.index)
-        self._take([words[i] for i in keep.tolist()], _gathered(self.pool, self.start[keep], self.size[keep]), self.size[keep], self.met[keep] // 2)
+        self._take(self.words.take(pa.array(keep)), _gathered(self.pool, self.start[keep], self.size[keep]), self.size[keep], self.met[keep] // 2)
 
-    def _at(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+    def _at(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
         return at, np.flatnonzero(at < 0)
 
-    def ids(self, words: list[str]) -> Ids:
+    def ids(self, words: pa.StringArray) -> Ids:
         """words: distinct."""
         at, new = self._at(words)
         if len(new):
-            if len(self.index) + len(new) > self.most:
+            if len(self.words) + len(new) > self.most:
                 self._forget()
                 at, new = self._at(words)
-            missed = [words[i] for i in new.tolist()]
-            ids, size = self.learn(missed)
-            at[new] = np.arange(len(self.index), len(self.index) + len(new))
-            self.index.update(zip(missed, at[new].tolist()))
+            missed = words.take(pa.array(new))
+            ids, size = self.learn(_strings(missed))
+            at[new] = np.arange(len(self.words), len(self.words) + len(new))
+            self.words = pa.concat_arrays([self.words, missed])
             self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
             self.size, self.pool = np.concatenate([self.size, size]), np.concatenate([self.pool, ids])
             self.met = np.concatenate([self.met, np.zeros(len(new), np.int32)])
@@ -97,7 +95,7 @@ class WordCodec:
         vocab = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.cores, self.others = Held(CACHE_CORES, self._merged), Held(CACHE_WORDS, self._whole)
+        self.cores, self.marks, self.others = Held(CACHE_CORES, self._merged), Held(CACHE_WORDS, self._merged), Held(CACHE_WORDS, self._whole)
 
     def _merged(self, runs: list[str]) -> Ids:
         """Of runs of letters or marks; the empty one has none."""
@@ -130,10 +128,10 @@ class WordCodec:
         pools, used = [], 0
         for held, strings, numbers, place, where in (
             (self.cores, cores.dictionary, cores.indices, 0, is_plain),
-            (self.cores, marks.dictionary, marks.indices, 1, is_plain),
+            (self.marks, marks.dictionary, marks.indices, 1, is_plain),
             (self.others, words.filter(pc.invert(plain)), None, 0, ~is_plain),
         ):
-            ids, size = held.ids(_strings(strings))
+            ids, size = held.ids(strings)
             start = used + np.cumsum(size) - size
             numbers = np.arange(len(size)) if numbers is None else numbers.to_numpy()
             spans[0, place, where], spans[1, place, where] = start[numbers], size[numbers]
