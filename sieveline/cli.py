@@ -11,9 +11,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import tokens
-from .operators import chunks, diff, hybrid, lexical
+from .operators import chunks, diff, graph, hybrid, lexical
 from .operators.vectors import hash_embedding
-from .sources.files import parser_for, read_files
+from .sources.files import parser_for, read_diffs, read_files
 from .sources.store import ChunkStore
 
 
@@ -27,6 +27,7 @@ def index(spark: SparkSession, source: str, out: str) -> dict[str, float]:
     table = _table(store)
     lexical.Index.of(table, field="searchable").save(f"{out}/postings")
     store.save_vectors(table.select("chunk_id", hash_embedding(tokens(F.col("searchable"))).alias("embedding")))
+    graph.edges(table).write.mode("overwrite").parquet(f"{out}/graph")
     n = table.count()
     return {"files": sum(counts.values()), "java": counts.get("java", 0), "jsp": counts.get("jsp", 0), "config": counts.get("config", 0), "chunks": n, "documents": n, "embeddings": store.vectors().count(), "seconds": round(time.time() - began, 1)}
 
@@ -34,7 +35,7 @@ def index(spark: SparkSession, source: str, out: str) -> dict[str, float]:
 def _table(store: ChunkStore):
     """The chunks once each (a source that is indexed again gives the same ids), with what they are found by."""
     rows = store.chunks().dropDuplicates(["chunk_id"])
-    return rows.select(F.xxhash64("chunk_id").alias("chunk_id"), F.col("chunk_id").alias("id"), chunks.searchable(rows).alias("searchable"), "metadata_json", "content", "type", "file_path", "fqn", "start_line", "end_line", F.col("api_calls").alias("calls"), "imports", "mvc")
+    return rows.select(F.xxhash64("chunk_id").alias("chunk_id"), F.col("chunk_id").alias("id"), chunks.searchable(rows).alias("searchable"), "metadata_json", "content", "type", "file_path", "fqn", "start_line", "end_line", F.col("api_calls").alias("calls"), "imports", "mvc", "class_context")
 
 
 def search(spark: SparkSession, path: str, text: str, limit: int = 10, kind: str | None = None) -> list[dict]:
@@ -46,14 +47,21 @@ def search(spark: SparkSession, path: str, text: str, limit: int = 10, kind: str
     return [{"score": r.score, "type": r.type, "place": f"{r.file_path}:{r.start_line}-{r.end_line}", "fqn": r.fqn, "content": r.content[:200]} for r in rows]
 
 
-def retrofit(spark: SparkSession, path: str, diff_file: str, kind: str = "METHOD") -> list[dict]:
-    """For each hunk of a diff, the chunks of the index that it belongs to."""
-    diffs = spark.read.text(diff_file, wholetext=True).select(F.lit(1).alias("diff_id"), F.col("value").alias("raw_diff"))
-    rows = diff.diff_lines(diffs).groupBy("file_no", "hunk_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("source"))
-    queries = rows.select((F.col("file_no") * 100_000 + F.col("hunk_no")).cast("bigint").alias("query_id"), "source", F.lit("").alias("hint"), hash_embedding(tokens(F.col("source"))).alias("embedding"))
+def retrofit(spark: SparkSession, path: str, diffs: str, kind: str = "METHOD", file: str | None = None) -> list[dict]:
+    """For each hunk of the diffs (a file, or a folder of them), or of those of one changed file, the chunks of the index that
+    it belongs to. query_id is the hunk's number within its diff: file number * 100,000 + hunk number."""
+    raw = read_diffs(spark, diffs)
+    lines = diff.diff_lines(raw).join(diff.file_changes(raw).select("diff_id", "file_no", F.col("effective_path").alias("changed")), ["diff_id", "file_no"])
+    lines = lines if file is None else lines.where(F.col("changed") == file)
+    rows = lines.groupBy("diff_id", "file_no", "hunk_no", "changed").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("source"))
+    queries = rows.select(F.struct("diff_id", "file_no", "hunk_no").alias("at"), F.concat_ws(":", "diff_id", "file_no", "hunk_no").alias("query_id"), "changed", "source", F.lit("").alias("hint"), hash_embedding(tokens(F.col("source"))).alias("embedding"))
     store = ChunkStore(spark, path)
-    found = hybrid.pattern_search(_table(store), store.vectors(), queries, kind, config=hybrid.RetrievalConfig(threshold=0.0), index=lexical.Index.load(spark, f"{path}/postings"))
-    return [r.asDict() for r in found.orderBy("query_id", "rank").collect()]
+    table = _table(store)
+    found = hybrid.pattern_search(table, store.vectors(), queries, kind, config=hybrid.RetrievalConfig(threshold=0.0), index=lexical.Index.load(spark, f"{path}/postings"))
+    found = found.join(queries.select("query_id", "at", "changed"), "query_id").join(table.select("chunk_id", "id", "file_path", "fqn", "start_line", "end_line"), "chunk_id")
+    number = (F.col("at.file_no") * 100_000 + F.col("at.hunk_no")).cast("bigint")
+    out = found.withColumn("diff", F.col("at.diff_id")).withColumn("query_id", number).withColumn("chunk_id", F.col("id")).drop("at", "id")
+    return [r.asDict() for r in out.orderBy("diff", "query_id", "rank").collect()]
 
 
 def status(spark: SparkSession, path: str) -> dict[str, bool]:
@@ -72,13 +80,14 @@ def main(args: list[str] | None = None) -> int:
     b.add_argument("-n", "--limit", type=int, default=10)
     b.add_argument("-t", "--type", choices=chunks.TYPES)
     c = sub.add_parser("retrofit")
-    c.add_argument("diff")
+    c.add_argument("diff", help="a diff, or a folder of them")
+    c.add_argument("-f", "--file", help="only this changed file")
     c.add_argument("-i", "--index", required=True)
     d = sub.add_parser("status")
     d.add_argument("-i", "--index", required=True)
     x = p.parse_args(args)
     spark = SparkSession.builder.appName("sieveline").getOrCreate()
-    out = {"index": lambda: index(spark, x.source, x.output), "search": lambda: search(spark, x.index, x.query, x.limit, x.type), "retrofit": lambda: retrofit(spark, x.index, x.diff), "status": lambda: status(spark, x.index)}[x.command]()
+    out = {"index": lambda: index(spark, x.source, x.output), "search": lambda: search(spark, x.index, x.query, x.limit, x.type), "retrofit": lambda: retrofit(spark, x.index, x.diff, file=x.file), "status": lambda: status(spark, x.index)}[x.command]()
     print(json.dumps(out, indent=2, default=str))
     return 0
 

@@ -85,6 +85,32 @@ def summary(changes: DataFrame) -> DataFrame:
     return changes.groupBy("diff_id").agg(F.count(F.lit(1)).alias("files"), of("JAVA").alias("java"), of("JSP").alias("jsp"), of("CONFIG").alias("config"))
 
 
+def java_changes(changes: DataFrame) -> DataFrame:
+    return changes.where(F.col("file_type") == "JAVA")
+
+
+def jsp_changes(changes: DataFrame) -> DataFrame:
+    return changes.where(F.col("file_type") == "JSP")
+
+
+def config_changes(changes: DataFrame) -> DataFrame:
+    """Configuration alone; is_config_file takes other XML too."""
+    return changes.where(F.col("file_type") == "CONFIG")
+
+
+def is_config_file(file_type: Column) -> Column:
+    return file_type.isin("CONFIG", "XML")
+
+
+def range_size(start: Column, end: Column) -> Column:
+    """Lines of a closed range; 0 for one that ends before it starts by a line, as a hunk of no lines does."""
+    return end - start + 1
+
+
+def range_contains(start: Column, end: Column, line: Column) -> Column:
+    return (line >= start) & (line <= end)
+
+
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     return (a_start <= b_end) & (b_start <= a_end)
 

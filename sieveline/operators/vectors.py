@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .lexical import top
 
@@ -34,55 +37,85 @@ def knn_by_vector(vectors: DataFrame, query: list[float], k: int, min_similarity
     return near.orderBy(F.desc("similarity"), "chunk_id").limit(k)
 
 
-#: Query vectors that are searched for in one pass.
-BLOCK = 4096
+#: Bytes of query vectors that one pass over the store searches for, and similarities that a task holds at once.
+QUERY_BYTES, CELLS = 16 << 20, 8 << 20
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, *, min_similarity: float = -2.0, exclude_self: bool = False) -> DataFrame:
+class _Best:
+    """The k best (query, key, similarity) that a task has met, for a block of `size` queries."""
+
+    def __init__(self, k: int, size: int, least: float):
+        self.k, self.least, self.found = k, np.full(size, max(least, -2.0)), None
+
+    def take(self, near: np.ndarray, key: pa.Array) -> None:
+        """near: queries by keys."""
+        some = near >= self.least[:, None]
+        if self.k < len(key) and some.sum() > self.k * len(near):
+            some &= near >= np.partition(near, -self.k, axis=1)[:, [-self.k]]  # ties of the k-th stay
+        row, col = np.nonzero(some)
+        key, near = key.take(pa.array(col)), near[row, col]
+        if self.found is not None:
+            row, near = np.concatenate([self.found[0], row]), np.concatenate([self.found[2], near])
+            key = pa.concat_arrays([self.found[1], key])
+        order = np.lexsort((pc.rank(key, tiebreaker="dense").to_numpy(), -near, row))
+        order = order[np.arange(len(order)) - np.searchsorted(row[order], row[order]) < self.k]
+        row, near = row[order], near[order]
+        self.found = row, key.take(pa.array(order)), near
+        ends = np.searchsorted(row, np.arange(len(self.least)), "right")
+        full = np.flatnonzero(np.diff(ends, prepend=0) == self.k)
+        self.least[full] = near[ends[full] - 1]
+
+
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, *, min_similarity: float = -2.0, exclude_self: bool = False, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, chunk_id, similarity, rank) for queries (query_id, embedding) against all vectors (chunk_id, embedding).
 
-    Queries go to the tasks in blocks of at most BLOCK vectors; each task multiplies its batches with the block and hands
-    on its own k best of each query, so k rows a task and query are shuffled.
+    Ids keep their types (with exclude_self, both have the same). Rows without a vector neither search nor are found; vectors
+    of different sizes are an error. Queries go to the tasks in blocks of at most query_bytes; each task multiplies its vectors
+    with the block and hands on its own k best of each query, so at most k rows a task and query are shuffled.
     """
     spark = vectors.sparkSession
-    found = None
-    rows = queries.select("query_id", "embedding")
-    held: list = []
+    rows = queries.select("query_id", "embedding").where("embedding IS NOT NULL")
+    store = vectors.select("chunk_id", "embedding").where("embedding IS NOT NULL")
+    types = [d.schema[0].dataType for d in (rows, store)]
+    out = f"query_id {types[0].simpleString()}, chunk_id {types[1].simpleString()}, similarity double"
+    arrow = to_arrow_type(types[0])
 
     def search(block: list) -> DataFrame:
-        ids = np.array([r[0] for r in block])
         q = np.array([r[1] for r in block], float)
         size = np.linalg.norm(q, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((ids, np.divide(q, size, out=np.zeros_like(q), where=size > 0)))
+        shared = spark.sparkContext.broadcast(([r[0] for r in block], np.divide(q, size, out=np.zeros_like(q), where=size > 0)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, unit = shared.value
+            ids, best = pa.array(ids, arrow), _Best(k, len(unit), min_similarity)
+            step = max(1, CELLS // len(unit))
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                key = batch.column(0).to_numpy()
-                v = np.array(batch.column(1).to_pylist(), float)
-                length = np.linalg.norm(v, axis=1, keepdims=True)
-                near = np.round(unit @ np.divide(v, length, out=np.zeros_like(v), where=length > 0).T, 6)
-                out = []
-                for i in range(len(ids)):
-                    ok = near[i] >= min_similarity
-                    ok &= (key != ids[i]) | (not exclude_self)
-                    at = np.flatnonzero(ok)
-                    out += [(ids[i], key[j], near[i, j]) for j in at[np.lexsort((key[at], -near[i, at]))[:k]]]
-                a, b, s = zip(*out) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "chunk_id", "similarity"])
-
-        return vectors.select(F.col("chunk_id").cast("bigint"), "embedding").mapInArrow(run, "query_id bigint, chunk_id bigint, similarity double")
-
+                for at in range(0, batch.num_rows, step):
+                    key, lists = batch.column(0).slice(at, step), batch.column(1).slice(at, step)
+                    if pc.any(pc.not_equal(pc.list_value_length(lists), unit.shape[1])).as_py():
+                        raise ValueError("vectors of different sizes")
+                    v = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
+                    length = np.linalg.norm(v, axis=1, keepdims=True)
+                    near = np.round(unit @ np.divide(v, length, out=np.zeros_like(v), where=length > 0).T, 6)
+                    if exclude_self:
+                        number = pa.concat_arrays([ids, key]).dictionary_encode().indices.to_numpy()
+                        near[number[: len(ids), None] == number[None, len(ids) :]] = -np.inf
+                    best.take(near, key)
+            if best.found is not None:
+                row, key, near = best.found
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), key, pa.array(near)], names=["query_id", "chunk_id", "similarity"])
+
+        return store.mapInArrow(run, out)
+
+    found, held = [], []
     for row in rows.toLocalIterator():
         held.append(row)
-        if len(held) == BLOCK:
-            found, held = (search(held) if found is None else found.unionByName(search(held))), []
-    if held or found is None:
-        part = search(held) if held else spark.createDataFrame([], "query_id bigint, chunk_id bigint, similarity double")
-        found = part if found is None else found.unionByName(part)
-    return top(found, k, score="similarity")
+        if len(held) * 8 * max(1, len(row[1])) >= query_bytes:
+            found.append(search(held))
+            held = []
+    if held:
+        found.append(search(held))
+    return top(reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], out), k, score="similarity")
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -226,6 +226,21 @@ def hunk_ranges(spark, sf_dir):
     return diff.hunks(diffs(spark)).select("diff_id", "file_no", "hunk_no", "old_start", "old_end", "new_start", "new_end", "context")
 
 
+@query("SELECT * FROM (VALUES (1, 1, 1, 4, 5, true), (1, 1, 2, 1, 1, false), (1, 2, 1, 2, 2, false), (1, 5, 1, 0, 2, false)) AS t(diff_id, file_no, hunk_no, old_size, new_size, has_line_12)")
+def hunk_sizes(spark, sf_dir):
+    h = diff.hunks(diffs(spark))
+    old, new = (diff.range_size(F.col(f"{s}_start"), F.col(f"{s}_end")) for s in ("old", "new"))
+    return h.select("diff_id", "file_no", "hunk_no", old.alias("old_size"), new.alias("new_size"), diff.range_contains(F.col("new_start"), F.col("new_end"), F.lit(12)).alias("has_line_12"))
+
+
+@query("SELECT * FROM (VALUES ('java', 'src/web/LoginAction.java'), ('jsp', 'WEB-INF/new.jsp'), ('config', 'conf/struts-config.xml'), ('config or xml', 'web.xml'), ('config or xml', 'conf/struts-config.xml')) AS t(filter, path)")
+def diff_filters(spark, sf_dir):
+    c = diff.file_changes(diffs(spark))
+    parts = {"java": diff.java_changes(c), "jsp": diff.jsp_changes(c), "config": diff.config_changes(c), "config or xml": c.where(diff.is_config_file(F.col("file_type")))}
+    rows = [d.select(F.lit(name).alias("filter"), F.col("effective_path").alias("path")) for name, d in parts.items()]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+
+
 @query("SELECT 1 AS diff_id, 5 AS files, 1 AS java, 1 AS jsp, 1 AS config")
 def diff_summary(spark, sf_dir):
     return diff.summary(diff.file_changes(diffs(spark)))

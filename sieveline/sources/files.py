@@ -31,3 +31,8 @@ def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """(path, text) of every file below root, whole."""
     found = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return found.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def read_diffs(spark: SparkSession, root: str) -> DataFrame:
+    """(diff_id, raw_diff): a file of a unified diff, or all files below a folder; a diff's id is its path."""
+    return read_files(spark, root).select(F.col("path").alias("diff_id"), F.col("text").alias("raw_diff"))

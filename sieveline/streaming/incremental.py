@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.text import tokens
 from ..operators.lexical import postings
 from ..operators.vectors import hash_embedding, upsert
+from ..sources.store import ChunkStore
 
 CHUNKS = "chunk_id bigint, content string, type string, ts timestamp"
 
@@ -24,15 +25,15 @@ def latest(chunks: DataFrame, lateness: str = "1 hour") -> DataFrame:
 
 def index_stream(chunks: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
     """Each batch is one folder of postings (written whole or not at all, so a batch that runs twice changes nothing) and one
-    new version of the vectors."""
-    spark = chunks.sparkSession
+    new version of the vectors, which ChunkStore reads."""
+    spark, tables = chunks.sparkSession, ChunkStore(chunks.sparkSession, store)
 
     def take(batch: DataFrame, number: int) -> None:
         postings(batch).write.mode("overwrite").parquet(f"{store}/postings/batch={number}")
-        new = batch.select("chunk_id", hash_embedding(tokens(F.col("content"))).alias("embedding"), "ts")
+        new = batch.select("chunk_id", hash_embedding(tokens(F.col("content"))).cast("array<float>").alias("embedding"), "ts")
         if number:
-            new = upsert(spark.read.parquet(f"{store}/vectors/version={number - 1}"), new)
-        new.write.mode("overwrite").parquet(f"{store}/vectors/version={number}")
+            new = upsert(spark.read.parquet(tables.version_path("vectors", number - 1)), new)
+        new.write.mode("overwrite").parquet(tables.version_path("vectors", number))
 
     return chunks.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
