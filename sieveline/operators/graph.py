@@ -29,8 +29,8 @@ def mvc_edges(chunks: DataFrame) -> DataFrame:
 def inheritance(chunks: DataFrame) -> DataFrame:
     """(chunk_id, value): the first extended type and the implemented ones of a class context."""
     context = F.coalesce(F.col("class_context"), F.lit(""))
-    parent = F.regexp_extract(context, r"extends\s+([\w.]+)", 1)
-    faces = F.transform(F.split(F.regexp_extract(context, r"implements\s+(.+)", 1), ","), lambda x: F.trim(x))
+    parent = F.regexp_extract(context, r"extends\s+(\w+)", 1)
+    faces = F.transform(F.split(F.regexp_extract(context, r"implements\s+([\w,\s]+)", 1), ","), lambda x: F.trim(x))
     return chunks.select("chunk_id", F.explode(F.filter(F.concat(F.array(parent), faces), lambda x: x != "")).alias("value"))
 
 
@@ -63,17 +63,21 @@ def _share(found: Column, of: Column) -> Column:
     return F.size(found) / F.greatest(F.size(of), F.lit(1))
 
 
-def graph_score(results: DataFrame, by: list[str], query: str = "query_text") -> DataFrame:
-    """Adds `graph`, 0 to 1, to results with chunk_id, fqn, calls, imports, mvc and the query's text."""
+def graph_score(results: DataFrame, by: list[str], query: str = "query_text", import_hints: Column | None = None) -> DataFrame:
+    """Adds `graph`, 0 to 1, to results with chunk_id, fqn, calls, imports, mvc and the query's text. Each kind of hint counts
+    by the share of it that the chunk has word for word. A query's text gives no hints of imports; `import_hints` (an array)
+    may."""
     rows = co_occurrence(results, by)
     q = F.col(query)
     api, packages, flows = hints(q, API_HINTS), hints(q, PACKAGE_HINTS), hints(q, MVC_HINTS)
     none = F.array().cast("array<string>")
+    wanted = none if import_hints is None else F.array_distinct(F.coalesce(import_hints, none))
     values = F.coalesce(F.map_values(F.map_filter("mvc", lambda k, v: k.rlike("action|form|jsp"))), none)
     score = (
         F.when(F.array_contains(packages, F.col("package")), 0.3).otherwise(0.0)
         + 0.4 * _share(F.array_intersect(F.coalesce("calls", none), api), api)
-        + F.when(F.exists(values, lambda v: F.exists(flows, lambda h: F.lower(v).contains(h))), 0.3).otherwise(0.0)
+        + 0.2 * _share(F.array_intersect(F.coalesce("imports", none), wanted), wanted)
+        + 0.3 * _share(F.array_intersect(values, flows), flows)
         + F.when(F.col("co") > 1, 0.1 * F.log(F.greatest(F.col("co"), F.lit(1)).cast("double"))).otherwise(0.0)
     )
     return rows.withColumn("graph", F.round(F.least(F.lit(1.0), score), 6))

@@ -162,10 +162,18 @@ def vector_upsert(spark, sf_dir):
 
 @query("SELECT doc_id AS chunk_id, doc_id IN (SELECT vec_id FROM embeddings) AS stored, (SELECT count(*) FROM embeddings WHERE vec_id % 2 = 1) AS left_after_removal FROM documents")
 def vector_point_ops(spark, sf_dir):
-    v = stored_vectors(spark, sf_dir)
-    left = v.where("chunk_id % 2 <> 0").agg(F.count(F.lit(1)).alias("left_after_removal"))
-    d = document_chunks(spark, sf_dir).select("chunk_id").join(v.select("chunk_id", F.lit(True).alias("stored")), "chunk_id", "left")
-    return d.select("chunk_id", F.coalesce("stored", F.lit(False)).alias("stored")).crossJoin(F.broadcast(left))
+    store, ids = ChunkStore(spark), document_chunks(spark, sf_dir).select("chunk_id")
+    store.save_vectors(stored_vectors(spark, sf_dir))
+    known = store.contains_vectors(ids)
+    store.remove_vectors(stored_vectors(spark, sf_dir).where("chunk_id % 2 = 0"))
+    return known.crossJoin(F.broadcast(store.vectors().agg(F.count(F.lit(1)).alias("left_after_removal"))))
+
+
+@query("SELECT vec_id AS chunk_id, CAST(len(embedding) AS INTEGER) AS dims FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) ")
+def vector_get(spark, sf_dir):
+    store = ChunkStore(spark)
+    store.save_vectors(stored_vectors(spark, sf_dir))
+    return store.get_vectors(document_chunks(spark, sf_dir)).select("chunk_id", F.size("embedding").alias("dims"))
 
 
 @query()
@@ -211,7 +219,7 @@ GRAPH = f"""
 named AS (SELECT h.*, source || '.' || lang AS package, source, {CALLS} AS calls, lower(query_text) AS q FROM hits h JOIN documents ON doc_id = chunk_id JOIN qs USING (query_id)),
 hinted AS (SELECT *, {HINTS['api']} AS api, {HINTS['pack']} AS pack, {HINTS['flow']} AS flow, count(*) OVER (PARTITION BY query_id, package) - 1 AS co FROM named),
 scored AS (SELECT *, round(least(1.0, CASE WHEN list_contains(pack, package) THEN 0.3 ELSE 0.0 END + 0.4 * len(list_intersect(calls, api)) / greatest(len(api), 1)
-  + CASE WHEN len(list_filter(flow, lambda h: contains(lower(source), h))) > 0 THEN 0.3 ELSE 0.0 END + CASE WHEN co > 1 THEN 0.1 * ln(greatest(co, 1)) ELSE 0.0 END), 6) AS graph FROM hinted)"""
+  + 0.3 * len(list_intersect([source], flow)) / greatest(len(flow), 1) + CASE WHEN co > 1 THEN 0.1 * ln(greatest(co, 1)) ELSE 0.0 END), 6) AS graph FROM hinted)"""
 FILTERED = """
 combined AS (SELECT *, round(0.7 * score + 0.3 * graph, 7) AS combined FROM scored),
 placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, rank) AS INTEGER) AS place, count(*) OVER (PARTITION BY query_id) AS n FROM combined),

@@ -22,11 +22,10 @@ def test_cosine_is_symmetric_zero_safe_and_strict(spark):
         spark.createDataFrame([([1.0], [1.0, 2.0])], "a array<float>, b array<float>").select(vectors.cosine(F.col("a"), F.col("b"))).collect()
 
 
-def test_batches_agree_with_single_queries(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "BLOCK", 3)
+def test_batches_agree_with_single_queries(spark):
     draw = np.random.default_rng(0)
     v = spark.createDataFrame([(i, draw.normal(size=8).tolist()) for i in range(40)], "chunk_id long, embedding array<float>")
-    batch = vectors.knn_batch(v, v.where("chunk_id < 8").withColumnRenamed("chunk_id", "query_id"), 5).collect()
+    batch = vectors.knn_batch(v, v.where("chunk_id < 8").withColumnRenamed("chunk_id", "query_id"), 5, query_bytes=1).collect()
     for q in v.where("chunk_id < 8").collect():
         want = [(r.chunk_id, r.similarity) for r in vectors.knn_by_vector(v, q.embedding, 5).collect()]
         assert [(r.chunk_id, r.similarity) for r in sorted((r for r in batch if r.query_id == q.chunk_id), key=lambda r: r["rank"])] == want
@@ -45,7 +44,7 @@ def test_pattern_filter_keeps_half_or_five(spark, n, kept):
 
 
 def test_graph_score_adds_its_terms(spark):
-    rows = spark.createDataFrame([(0, i, f"web.C{i}", ["Service", "x"], ["a"], {"actionPath": "/login"}, "the web login service") for i in range(4)], "query_id int, chunk_id int, fqn string, calls array<string>, imports array<string>, mvc map<string,string>, query_text string")
+    rows = spark.createDataFrame([(0, i, f"web.C{i}", ["Service", "x"], ["a"], {"actionPath": "login"}, "the web login service") for i in range(4)], "query_id int, chunk_id int, fqn string, calls array<string>, imports array<string>, mvc map<string,string>, query_text string")
     got = {r.graph for r in graph.graph_score(rows, ["query_id"]).collect()}
     assert got == {1.0}
     bare = rows.withColumn("fqn", F.lit(None).cast("string")).withColumn("calls", F.lit(None).cast("array<string>")).withColumn("mvc", F.lit(None).cast("map<string,string>"))
@@ -150,3 +149,26 @@ def test_searchable_text_and_segments(spark):
     got = {r["rank"]: (r.text, r.metadata) for r in hybrid.segments(found, c).collect()}
     assert got[1] == ("body", {"complexity": "2", "chunk_id": "k", "chunk_type": "METHOD", "file_path": "a/C.java", "fqn": "C.m", "start_line": "3", "end_line": "9", "vector_similarity": "0.5", "llm_score": "0.7", "ranking_method": "llm_rerank"})
     assert got[2][0] == "alone" and "fqn" not in got[2][1]
+
+
+def test_batched_search_agrees_with_brute_force_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = rng.integers(-2, 3, (300, 4)).astype(float)  # many ties and some zero vectors
+    rows = spark.createDataFrame([(f"c{i:03}", x.tolist()) for i, x in enumerate(v)] + [("null", None)], "chunk_id string, embedding array<double>").repartition(3)
+    monkeypatch.setattr(vectors, "CELLS", 500)
+    got = vectors.knn_batch(rows, rows.withColumnRenamed("chunk_id", "query_id"), 5, min_similarity=0.2, exclude_self=True, query_bytes=70 * 32).collect()
+    unit = np.divide(v, np.linalg.norm(v, axis=1, keepdims=True), out=np.zeros_like(v), where=v.any(axis=1, keepdims=True))
+    near = np.round(unit @ unit.T, 6)
+    want = {(f"c{i:03}", f"c{j:03}", n + 1) for i in range(300) for n, j in enumerate([j for j in np.lexsort((np.arange(300), -near[i])) if j != i and near[i, j] >= 0.2][:5])}
+    assert {(r.query_id, r.chunk_id, r["rank"]) for r in got} == want and len(got) == len(want)
+
+
+def test_graph_score_counts_exact_flows_and_imports_by_share(spark):
+    rows = spark.createDataFrame([(0, 1, None, [], ["a.B", "c.D"], {"formName": "login", "actionPath": "/user"}, "login of a user")], "query_id int, chunk_id int, fqn string, calls array<string>, imports array<string>, mvc map<string,string>, query_text string")
+    assert graph.graph_score(rows, ["query_id"]).first().graph == 0.15
+    assert graph.graph_score(rows, ["query_id"], import_hints=F.array(F.lit("a.B"), F.lit("x"))).first().graph == 0.25
+
+
+def test_inheritance_takes_plain_names(spark):
+    rows = spark.createDataFrame([(1, "class A<T> extends Base<T> implements I, J<T> {")], "chunk_id int, class_context string")
+    assert [r.value for r in graph.inheritance(rows).collect()] == ["Base", "I", "J"]
