@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in a local session alone, one set here where it is unset."""
     sc = spark.sparkContext
     given = sc.getConf().get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: driver and executors share no other folder")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="sieveline-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
