@@ -2,6 +2,9 @@
 
 Each stage is (name, function of (spark, docs, sf_dir)); its result is written as Parquet and read again as the next one's
 docs. All but the last return the columns of documents.
+
+Every stage takes nulls in any column (a null text counts as empty), empty and very long texts, repeated rows and an empty table
+(which gives no rows). Extra columns of docs, whatever their names, are passed on by all but the last.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ TOXIC = 0.7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier doesn't reject."""
+    """Documents that the toxicity classifier doesn't reject; empty texts stay."""
     ship(spark)
     scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
     return scored.where(F.col(scored.columns[-1]) < TOXIC).select(*docs.columns)
@@ -31,7 +34,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: the one with the smallest id (then the smallest hash of its row). Rows
-    without an id are documents of their own, behind those with one; of rows that are equal in id and text one can stay."""
+    without an id are documents of their own, behind those with one; of rows that are equal in id and text one can stay, and
+    so of rows without words."""
     ship(spark)
     row = F.xxhash64("doc_id", "text")
     keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row.alias("row")).alias("key"), "text")
@@ -43,7 +47,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item; texts too short to hold one stay."""
     ship(spark)
     return contamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
