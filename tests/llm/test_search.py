@@ -114,3 +114,28 @@ def test_registered_pages_keep_their_articles(spark, sf):
     docs = {"\n\n".join(" ".join(x.split()) for x in r.text.split("\n") if x.strip()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = QUERIES["op9_main_text"](spark, sf).collect()
     assert got and all(r.text.split("\n\n", 1)[1] in docs for r in got if "\n\n" in r.text)
+
+
+def test_bm25_with_floors_of_a_first_pass_and_groups_of_alike_texts(spark, monkeypatch):
+    monkeypatch.setattr(search, "LEAD", 40)
+    monkeypatch.setattr(search, "TERMS", 2000)
+    draw = random.Random(5)
+    docs = [(i, " ".join(draw.choice(["the", "of"] if i % 3 else ["der", "und"]) if draw.random() < 0.4 else f"{'en' if i % 3 else 'de'}{int(draw.expovariate(0.05))}" for _ in range(draw.randint(1, 60)))) for i in range(700)]
+    docs += [(i, docs[33][1]) for i in range(800, 840)]  # ties beyond k, in several shards
+    queries = [(i, t) for i, t in docs if i % 20 == 0] + [(33, docs[33][1])]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in search.search(d, spark.createDataFrame(queries, "query_id long, text string"), 5).collect())
+    want = sorted((a, r, i, s) for a, i, s, r in brute_bm25(docs, queries, 5))
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert all(abs(x[3] - y[3]) < 2e-6 for x, y in zip(got, want))
+
+
+def test_shards_are_indexed_once_however_many_the_query_terms(spark, monkeypatch):
+    monkeypatch.setattr(search, "TERMS", 10)
+    written, plain = [], search.stored
+    monkeypatch.setattr(search, "stored", lambda df, label: written.append(label) or plain(df, label))
+    docs = [(i, f"a{i % 7} b{i % 5} c") for i in range(100)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = search.search(d, d.withColumnRenamed("doc_id", "query_id"), 3)
+    assert sorted((r.query_id, r["rank"], r.doc_id) for r in got.collect()) == sorted((q, r, i) for q, i, _, r in brute_bm25(docs, docs, 3))
+    assert written.count("found") == 1  # one pass over the index, not one for each ten query terms
