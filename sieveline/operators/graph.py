@@ -21,6 +21,12 @@ def hints(text: Column, table: dict[str, str]) -> Column:
     return F.filter(F.array(*[F.when(F.lower(text).contains(w), F.lit(h)) for w, h in table.items()]), lambda h: h.isNotNull())
 
 
+def hint_words(text: Column) -> Column:
+    """The words of the tables above that a text holds: as a query it gives the same hints, and is short."""
+    words = sorted({*API_HINTS, *PACKAGE_HINTS, *MVC_HINTS})
+    return F.concat_ws("\n", hints(text, {w: w for w in words}))
+
+
 def mvc_edges(chunks: DataFrame) -> DataFrame:
     """(chunk_id, value) of the mapping entries whose key holds action, form or jsp."""
     return chunks.select("chunk_id", F.explode("mvc").alias("key", "value")).where(F.col("key").rlike("action|form|jsp")).select("chunk_id", "value")

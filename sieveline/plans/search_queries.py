@@ -36,6 +36,7 @@ FQN = "source || '.' || lang || '.d' || doc_id"
 
 
 _INDEXES: dict[tuple[str, str], lexical.Index] = {}
+_DOCUMENTS: dict[tuple[str, str], lexical.Documents] = {}
 
 
 def _index(spark: SparkSession, sf_dir: str) -> lexical.Index:
@@ -46,6 +47,14 @@ def _index(spark: SparkSession, sf_dir: str) -> lexical.Index:
     return _INDEXES[key]
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> lexical.Documents:
+    """The same by document, for searches with many whole texts; built once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _DOCUMENTS:
+        _DOCUMENTS[key] = lexical.Documents.of(document_chunks(spark, sf_dir))
+    return _DOCUMENTS[key]
+
+
 def _bench(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
 
@@ -301,7 +310,7 @@ COLUMNS = ("query_id", "chunk_id", "bm25", "graph", "vector_similarity", "llm_sc
 
 @query(OWN.replace("THRESHOLD", "0.0") + " SELECT query_id, chunk_id, score AS bm25, graph, similarity AS vector_similarity, similarity AS llm_score, 'vector_only' AS ranking_method, rank FROM final WHERE rank <= 10")
 def hybrid_search(spark, sf_dir):
-    found = hybrid.search(document_chunks(spark, sf_dir), stored_vectors(spark, sf_dir), own_queries(spark, sf_dir), hybrid.RetrievalConfig(threshold=0.0), index=_index(spark, sf_dir))
+    found = hybrid.search(document_chunks(spark, sf_dir), stored_vectors(spark, sf_dir), own_queries(spark, sf_dir), hybrid.RetrievalConfig(threshold=0.0), index=_documents(spark, sf_dir))
     return found.select(*COLUMNS)
 
 
