@@ -334,7 +334,7 @@ def pattern_search(spark, sf_dir):
     v = stored_vectors(spark, sf_dir)
     source = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("source"), F.lit("Service").alias("hint"))
     q = v.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id").join(source, "query_id")
-    return hybrid.pattern_search(document_chunks(spark, sf_dir), v, q, "en", config=hybrid.RetrievalConfig(threshold=0.0), index=_index(spark, sf_dir))
+    return hybrid.pattern_search(document_chunks(spark, sf_dir), v, q, "en", config=hybrid.RetrievalConfig(threshold=0.0), index=_documents(spark, sf_dir))
 
 
 KEYS = "('" + "', '".join(KEYWORDS) + "')"
