@@ -324,8 +324,7 @@ def hybrid_search_defaults(spark, sf_dir):
 def vector_recall(spark, sf_dir):
     q = own_queries(spark, sf_dir)
     c, v = document_chunks(spark, sf_dir), stored_vectors(spark, sf_dir)
-    rows = lexical.bm25_search(_index(spark, sf_dir), q, 100).join(c.drop("content"), "chunk_id").join(q.select("query_id", "query_text"), "query_id")
-    kept = graph.graph_filter(graph.graph_score(rows, ["query_id"]))
+    kept = hybrid.candidates(c, q, 100, index=_documents(spark, sf_dir))
     return hybrid.vector_recall(kept, vectors.knn_batch(v, q, 50, min_similarity=0.0)).select("query_id", "chunk_id", "similarity")
 
 
