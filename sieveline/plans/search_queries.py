@@ -316,7 +316,7 @@ def hybrid_search(spark, sf_dir):
 
 @query(OWN.replace("THRESHOLD", "0.3") + " SELECT query_id, chunk_id, similarity, rank FROM final WHERE rank <= 10")
 def hybrid_search_defaults(spark, sf_dir):
-    found = hybrid.search(document_chunks(spark, sf_dir), stored_vectors(spark, sf_dir), own_queries(spark, sf_dir), index=_index(spark, sf_dir))
+    found = hybrid.search(document_chunks(spark, sf_dir), stored_vectors(spark, sf_dir), own_queries(spark, sf_dir), index=_documents(spark, sf_dir))
     return found.select("query_id", "chunk_id", F.col("vector_similarity").alias("similarity"), "rank")
 
 

@@ -42,7 +42,7 @@ def test_hint_words_give_the_hints_of_the_text(spark):
         assert all(r.a == r.b for r in got)
 
 
-@pytest.mark.parametrize("name", ["hybrid_search", "vector_recall", "pattern_search"])
+@pytest.mark.parametrize("name", ["hybrid_search", "hybrid_search_defaults", "vector_recall", "pattern_search"])
 def test_no_query_is_joined_with_all_chunks(spark, sf, monkeypatch, name):
     def joined(*args, **kwargs):
         raise AssertionError("scores of all pairs of queries and chunks")
